@@ -184,7 +184,7 @@ def _cut(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
     inside = sizes.select("_pattern", "size", "_key", cell).join(F.broadcast(cut), ["_pattern", "_cell"])
     upto = F.sum("size").over(Window.partitionBy("_pattern").orderBy("_key"))
     fits = inside.withColumn("_upto", upto).where("_upto <= _left").groupBy("_pattern").agg(F.max("_key").alias("_last"), F.max("_upto").alias("_fit"))
-    start = F.when(F.col("_cell") == 1 << 11, F.lit((1 << 63) - 1)).otherwise(F.shiftleft(F.col("_cell").cast("long"), 52) - 1)
+    start = F.when(F.col("_cell") == 1 << 11, F.lit((1 << 63) - 1)).when(F.col("_cell") == -(1 << 11), F.lit(-(1 << 63))).otherwise(F.shiftleft(F.col("_cell").cast("long"), 52) - 1)
     found = cut.join(fits, "_pattern", "left").select("_pattern", F.coalesce("_last", start).alias("_last"), (F.col("_left") - F.coalesce("_fit", F.lit(0))).alias("_left"))
     return spark.createDataFrame(found.collect(), "_pattern string, _last long, _left long")
 
