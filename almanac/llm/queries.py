@@ -5,14 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from almanac.llm import mixing, repetition
+from almanac.llm import mixing, repetition, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file on this machine and the executors'."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.plan_mix(_table(spark, sf_dir, "documents")))
 
@@ -21,9 +29,15 @@ def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(_table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return files.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op5_repetition": op5_repetition,
+    "op9_token_files": op9_token_files,
 }
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
