@@ -16,7 +16,7 @@ import pandas as pd
 from almanac.llm.text import Words
 
 #: Words that a worker keeps before it starts anew.
-MOST_WORDS = 300_000
+MOST_WORDS = 600_000
 
 
 class Memo:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import mixing, repetition, token_counts, token_files
+from almanac.llm import mixing, pieces, repetition, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(_table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
     return files.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op4_token_counts": op4_token_counts,
     "op5_repetition": op5_repetition,
+    "op6_pieces": op6_pieces,
     "op9_token_files": op9_token_files,
 }
 
