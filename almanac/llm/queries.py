@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import mixing, pieces, repetition, token_counts, token_files
+from almanac.llm import mixing, pieces, repeats, repetition, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
     return files.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_repetition": op5_repetition,
     "op6_pieces": op6_pieces,
+    "op8_repeats": op8_repeats,
     "op9_token_files": op9_token_files,
 }
 
@@ -65,4 +70,12 @@ m AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word
   coalesce(b.n, 0) AS n_dup_lines, coalesce(n.n, 0) AS n_repeat_words, l.doc_id IS NOT NULL AS has_long FROM d LEFT JOIN n USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * n_repeat_words <= 30 * n_words AND NOT has_long AS kept
 FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)""",
+    "op8_repeats": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM g) WHERE first < doc_id),
+x AS (SELECT doc_id, list(DISTINCT j) AS x FROM (SELECT doc_id, unnest(generate_series(i, i + 12)) AS j FROM r) GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(x), 0) AS n_removed, coalesce(w, []) AS w, coalesce(x, []) AS x FROM d LEFT JOIN x USING (doc_id)),
+o AS (SELECT doc_id, string_agg(v, ' ' ORDER BY j) AS kept FROM (SELECT doc_id, unnest(w) AS v, unnest(generate_series(1, len(w))) AS j, x FROM k) WHERE NOT list_contains(x, j) GROUP BY doc_id)
+SELECT k.doc_id, n_words, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k LEFT JOIN o USING (doc_id)""",
 }

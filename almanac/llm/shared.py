@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -39,6 +40,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now, not whenever the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def n_words(text: Column) -> Column:
     """Words of a text (null: 0), without Python."""
     return F.coalesce(F.size(F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")), F.lit(0)).cast("long")
@@ -64,4 +71,4 @@ def per_slice(docs: DataFrame, added: str, measure: Callable[[pa.Array], dict],
     return docs.select(*keep, F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-__all__ = ["WORD", "n_words", "new_path", "per_slice", "shared_folder", "written"]
+__all__ = ["WORD", "n_words", "new_path", "per_slice", "release", "shared_folder", "written"]
