@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import jaccard, mixing, pieces, repeats, repetition, token_counts, token_files
+from almanac.llm import jaccard, mixing, pieces, quality, repeats, repetition, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"))
+
+
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_digests(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_repetition": op5_repetition,
     "op6_pieces": op6_pieces,
+    "op7_quality": op7_quality,
     "op8_repeats": op8_repeats,
     "op9_token_files": op9_token_files,
 }
