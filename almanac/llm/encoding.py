@@ -8,6 +8,7 @@ gathers from that table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -78,3 +79,61 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.empty(len(values), np.int64)
     first[codes[::-1]] = np.arange(len(keys) - 1, -1, -1)
     return codes, first
+
+
+# Kinds of bytes in words that are cut further: letters, digits, others, and what is not cut at all.
+_LETTER, _DIGIT, _OTHER, _UNCUT = range(4)
+_KIND = np.full(256, _UNCUT, np.uint8)
+_KIND[0x21:0x7F] = _OTHER
+_KIND[ord("0") : ord("9") + 1] = _DIGIT
+_KIND[ord("A") : ord("Z") + 1] = _LETTER
+_KIND[ord("a") : ord("z") + 1] = _LETTER
+_KIND[[ord("'"), ord("<")]] = _UNCUT
+#: Accented letters of the first 256 code points, as bytes after 0xC3.
+_ACCENTED = np.zeros(256, bool)
+_ACCENTED[0x80:0xC0] = True
+_ACCENTED[[0x97, 0xB7]] = False
+
+
+def lower_runs(cut: Words) -> Words:
+    """Words of plain characters, lower-cased and cut into runs of letters, single digits and runs of others.
+
+    Other words (with apostrophes, `<`, control characters, or letters beyond
+    U+00FF) stay whole and unchanged.  For splitters that lower-case and make
+    these cuts themselves, it leaves fewer distinct pieces.
+    """
+    n = len(cut.data)
+    kind = _KIND[cut.data]
+    lead = np.flatnonzero(cut.data[:-1] == 0xC3) if n else np.zeros(0, np.int64)
+    lead = lead[_ACCENTED[cut.data[lead + 1]]]
+    kind[lead] = _LETTER
+    kind[lead + 1] = _LETTER
+    bad = np.concatenate(([0], np.cumsum(kind == _UNCUT)))
+    plain = bad[cut.end] == bad[cut.start]
+    inside = np.zeros(n + 1, np.int64)
+    inside[cut.start[plain]] += 1
+    inside[cut.end[plain]] -= 1
+    inside = np.cumsum(inside)[:n] > 0
+    fresh = np.zeros(n, bool)
+    if n:
+        fresh[1:] = inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+    fresh[cut.start] = True
+    start = np.flatnonzero(fresh)
+    owner = np.searchsorted(cut.start, start, "right") - 1
+    end = np.minimum(np.append(start[1:], n), cut.end[owner])
+    data = cut.data.copy()
+    upper = inside & (data >= ord("A")) & (data <= ord("Z"))
+    data[upper] += 32
+    second = lead + 1
+    second = second[inside[second] & (data[second] < 0x9F)]
+    data[second] += 0x20
+    return Words(data, start, end, np.searchsorted(start, _starts(cut)), cut.offsets)
+
+
+def _starts(cut: Words) -> np.ndarray:
+    """The place of the first word of each document, and the end."""
+    return np.append(cut.start, len(cut.data))[cut.bounds]
+
+
+#: What lower_runs makes of plain words: one run.
+RUN = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")

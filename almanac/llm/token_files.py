@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm.encoding import Memo
+from almanac.llm.encoding import RUN, Memo, lower_runs
 from almanac.llm.shared import new_path, written
 from almanac.llm.text import slices, words
 
@@ -48,13 +48,25 @@ _memos: dict[str, Memo] = {}
 
 
 def word_memo(tokenizer: str) -> Memo:
-    """This process's memo of a tokenizers file that treats words apart."""
+    """This process's memo of a tokenizers file that lower-cases and treats words and runs apart.
+
+    A run of plain characters goes straight to the library's merges; any other
+    word takes the whole way through its normaliser and splitter.
+    """
     if tokenizer not in _memos:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(tokenizer)
-        _memos[tokenizer] = Memo(lambda texts: [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)])
+        shown = {point: "".join(chr(b) if 0xA1 <= b != 0xAD else chr(0x100 + (b - 0x7F + 33 if b < 0xA1 else 67)) for b in chr(point).encode()) for point in range(0xDF, 0x100)}
+
+        def encode(texts: list[str]) -> list[list[int]]:
+            merge, plain = library.model.tokenize, RUN.fullmatch
+            rest = [t for t in texts if not plain(t)]
+            whole = iter(library.encode_batch_fast(rest, add_special_tokens=False))
+            return [[x.id for x in merge(t if t.isascii() else t.translate(shown))] if plain(t) else next(whole).ids for t in texts]
+
+        _memos[tokenizer] = Memo(encode)
     return _memos[tokenizer]
 
 
@@ -108,7 +120,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, *, end_id: int
     dtype = f"<u{width}"
 
     def serialised(texts: pa.Array) -> list[bytes]:
-        ids, bounds = word_memo(tokenizer).ids(words(texts))
+        ids, bounds = word_memo(tokenizer).ids(lower_runs(words(texts)))
         raw, end = ids.astype(dtype).tobytes(), np.array([end_id], dtype).tobytes()
         edges = (bounds * width).tolist()
         return [raw[a:b] + end for a, b in zip(edges, edges[1:])]
