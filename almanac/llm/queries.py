@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import jaccard, mixing, pieces, quality, repeats, repetition, token_counts, token_files
+from almanac.llm import jaccard, language_model, mixing, pieces, quality, repeats, repetition, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.plan_mix(_table(spark, sf_dir, "documents")))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.lm_scores(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=90).drop("_row")
 
@@ -56,6 +60,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_language_model": op2_language_model,
     "op3_jaccard": op3_jaccard,
     "op4_token_counts": op4_token_counts,
     "op5_repetition": op5_repetition,
