@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import jaccard, language_model, mixing, pieces, quality, repeats, repetition, token_counts, token_files
+from almanac.llm import jaccard, language_model, media, mixing, pieces, quality, repeats, repetition, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = media.fingerprints(media.recordings(_table(spark, sf_dir, "conversations")), "text", media.melodies)
+    return media.search(prints, F.col("id") % 100 == 0).withColumnRenamed("id", "conv_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_language_model": op2_language_model,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_repeats": op8_repeats,
     "op9_token_files": op9_token_files,
+    "op10_media": op10_media,
 }
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
