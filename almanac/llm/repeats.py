@@ -304,7 +304,8 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated words cut out of their texts; texts that lose none stay as they are."""
     schema = StructType(docs.schema.fields)
-    at = docs.columns.index("text")
+    names = docs.columns
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,6 +317,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 some = np.diff(np.asarray(flags.offsets)) > 0
                 texts = pa.array([data[x:y].decode() if f else t for x, y, f, t in zip(edges, edges[1:], some.tolist(), texts.to_pylist())], pa.string())
                 columns = [texts if i == at else part.column(i) for i in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return _with_flags(docs).select(*docs.columns, "flags").mapInArrow(run, schema)
