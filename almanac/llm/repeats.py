@@ -17,7 +17,8 @@ documents they concern instead:
    document.  Only contexts with something new enter the automaton.
 4. Flagged windows return to their documents; the words they cover are removed.
 
-Equal contexts inside one batch of texts are judged there: all but those of its
+Copies of a whole text are flagged as such and send no contexts.  Equal contexts
+inside one batch of texts are judged there: all but those of its
 smallest document are flagged, and only one of them moves.  So a passage in a
 third of all documents costs a row for each batch, not for each document.
 
@@ -45,6 +46,8 @@ ANCHOR = 5
 #: Bytes of a word's hash in a context.
 _WORD_BYTES = 5
 _NO_ID = (1 << 63) - 1
+#: The flag of a document whose text is that of a smaller one.
+ALL = -1
 
 
 class Automaton:
@@ -165,7 +168,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["anchor", "_id", "_row", "start", "n", "words"]
+    names = ["anchor", "_id", "_row", "place", "words"]
     for batch in batches:
         for a, b in slices(batch.column(2)):
             found = Contexts(words(batch.column(2)[a:b]))
@@ -185,20 +188,23 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sent = found.words(which[~later])
             place = np.cumsum(~later) - 1
             packed = sent.take(pa.array(place, mask=later))
-            columns = [_signed(found.anchor[which]), batch.column(0).take(take), batch.column(1).take(take), pa.array(found.local[which], pa.int64()), pa.array(found.n[which], pa.int64()), packed]
+            columns = [_signed(found.anchor[which]), batch.column(0).take(take), batch.column(1).take(take), pa.array(found.local[which] * 16 + found.n[which], pa.int64()), packed]
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by anchor and id: windows of each context that stood in one with a smaller id.
 
+    place is start * 16 + number of windows.
+
     A flag is start * 2**WINDOW + bits, one bit for each window from start.
     """
     shard, current, automaton, waiting = None, None, None, []
     for batch in batches:
         out: list[list[int]] = [[], [], []]
-        columns = [batch.column(i).to_pylist() for i in range(6)]
-        for anchor, doc, row, start, n, packed in zip(*columns):
+        columns = [batch.column(i).to_pylist() for i in range(5)]
+        for anchor, doc, row, place, packed in zip(*columns):
+            start, n = divmod(place, 16)
             if packed is None:  # flagged where it was found
                 bits = (1 << n) - 1
             else:
@@ -228,20 +234,32 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_row": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
 
 
+def _hits(texts: DataFrame) -> DataFrame:
+    """(_id, _row, anchors): the shared anchors of each document but copies of a smaller one."""
+    counted = texts.select("text").mapInArrow(_anchor_counts, "anchor long, n long")
+    shared = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    found = texts.mapInArrow(_anchors, "anchor long, _id long, _row long").join(shared, "anchor")
+    hits = found.groupBy("_id", "_row").agg(F.collect_set("anchor").alias("anchors"))
+    return hits.join(_copied(texts), "_row", "left").where("first IS NULL OR first = _id").drop("first")
+
+
+def _copied(texts: DataFrame) -> DataFrame:
+    """(_row, first): texts of several documents, and the smallest of these."""
+    return texts.groupBy("_row").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last").drop("last")
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(_id, _row, flags) of the documents with windows that repeat a smaller one's."""
+    """(_id, _row, flags) of the documents with windows that repeat a smaller one's; ALL flags a copy's."""
     spark = docs.sparkSession
     texts = _keyed(docs).select("_id", "_row", "text")
-    counted = texts.select("text").mapInArrow(_anchor_counts, "anchor long, n long")
-    shared = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    found = texts.mapInArrow(_anchors, "anchor long, _id long, _row long")
-    hits = written(found.join(shared, "anchor").groupBy("_id", "_row").agg(F.collect_set("anchor").alias("anchors")), "anchors")
+    hits = written(_hits(texts), "anchors")
     release(spark)
-    contexts = texts.join(hits, ["_id", "_row"]).select("_id", "_row", "text", "anchors").mapInArrow(_contexts, "anchor long, _id long, _row long, start long, n long, words binary")
+    contexts = texts.join(hits, ["_id", "_row"]).select("_id", "_row", "text", "anchors").mapInArrow(_contexts, "anchor long, _id long, _row long, place long, words binary")
     ordered = contexts.repartition("anchor").sortWithinPartitions("anchor", "_id")
     flags = written(ordered.mapInArrow(_judge, "_id long, _row long, flag long"), "flags")
     release(spark)
-    return flags.groupBy("_id", "_row").agg(F.collect_set("flag").alias("flags"))
+    copies = texts.join(_copied(texts), "_row").where("_id > first").select("_id", "_row", F.lit(ALL).cast("long").alias("flag"))
+    return flags.union(copies).groupBy("_id", "_row").agg(F.collect_set("flag").alias("flags"))
 
 
 def _removed(cut: Words, flags: pa.Array) -> np.ndarray:
@@ -251,11 +269,13 @@ def _removed(cut: Words, flags: pa.Array) -> np.ndarray:
     raw = np.asarray(flags.flatten()).astype(np.int64)
     edge = np.zeros(len(cut.start) + 1, np.int64)
     for bit in range(WINDOW):
-        on = (raw >> bit) & 1 == 1
+        on = (raw != ALL) & ((raw >> bit) & 1 == 1)
         start = cut.bounds[doc[on]] + (raw[on] >> WINDOW) + bit
         np.add.at(edge, start, 1)
         np.subtract.at(edge, start + WINDOW, 1)
-    return np.cumsum(edge)[:-1] > 0
+    copies = np.zeros(len(sizes), bool)
+    copies[doc[raw == ALL]] = True
+    return (np.cumsum(edge)[:-1] > 0) | (copies & (cut.counts >= WINDOW))[cut.doc()]
 
 
 def _kept(cut: Words, removed: np.ndarray, spaced: bool) -> tuple[bytes, list[int]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,8 +43,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps now, not whenever the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees is what the second one finds unreachable
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def n_words(text: Column) -> Column:
@@ -52,7 +55,7 @@ def n_words(text: Column) -> Column:
 
 
 def per_slice(docs: DataFrame, added: str, measure: Callable[[pa.Array], dict], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of docs, and those that `measure` makes of about 4 MB of texts at a time.
+    """The kept columns of docs, and those that `measure` makes of about 2 MB of texts at a time.
 
     `added` is the DDL of the new columns; `measure` returns an array for each.
     """
