@@ -320,5 +320,5 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component: that with the smallest doc_id, of its rows the one with the smallest hash."""
     found = near_duplicates(docs, k, percent)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("_row").alias("_row")).select(F.col("doc_id").alias("_id"), F.col("_row").alias("_keep"))
-    marked = docs.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return marked.join(stay, (F.col("_row") == F.col("_keep")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").alias("_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"))
+    return rows.join(stay, (F.col("_row") == F.col("_keep")) & F.col("_doc").eqNullSafe(F.col("_id"))).select("doc.*")

@@ -301,7 +301,10 @@ def _kept(cut: Words, removed: np.ndarray, spaced: bool) -> tuple[bytes, list[in
 
 
 def _with_flags(docs: DataFrame) -> DataFrame:
-    return _keyed(docs).join(repeated_windows(docs), ["_id", "_row"], "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<long>")))
+    """(doc, text, flags): whole rows, their texts and their flags."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "doc_id", "text")
+    flagged = _keyed(rows).join(repeated_windows(docs), ["_id", "_row"], "left")
+    return flagged.select("doc", "text", F.coalesce("flags", F.array().cast("array<long>")).alias("flags"))
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
@@ -318,25 +321,22 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(cut.counts), pa.array(lost), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _with_flags(docs).select("doc_id", "text", "flags").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return _with_flags(docs).select("doc.doc_id", "text", "flags").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated words cut out of their texts; texts that lose none stay as they are."""
-    schema = StructType(docs.schema.fields)
-    names = docs.columns
-    at = names.index("text")
+    schema = StructType().add("doc", docs.schema).add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(at)):
-                part = batch.slice(a, b - a)
-                texts, flags = part.column(at), part.column(part.num_columns - 1)
+            for a, b in slices(batch.column(1)):
+                texts, flags = batch.column(1)[a:b], batch.column(2)[a:b]
                 cut = words(texts)
                 data, edges = _kept(cut, _removed(cut, flags), spaced=True)
                 some = np.diff(np.asarray(flags.offsets)) > 0
                 texts = pa.array([data[x:y].decode() if f else t for x, y, f, t in zip(edges, edges[1:], some.tolist(), texts.to_pylist())], pa.string())
-                columns = [texts if i == at else part.column(i) for i in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], texts], ["doc", "text"])
 
-    return _with_flags(docs).select(*docs.columns, "flags").mapInArrow(run, schema)
+    cut = _with_flags(docs).mapInArrow(run, schema)
+    return cut.select(*(F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))
