@@ -22,11 +22,11 @@ BUCKETS = 16
 LATE = "1 day"
 
 
-def read_events(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
-    """Raw events as they arrive in a folder, or in one file; late ones are waited for as long as LATE."""
+def read_events(spark: SparkSession, path: str, files_per_batch: int = 8, late: str = LATE) -> DataFrame:
+    """Raw events as they arrive in a folder, or in one file; repeated ones are known, and late ones taken, within `late`."""
     path = f"{path[:-1]}[{path[-1]}]"  # a pattern may name a file, a plain path of a stream must be a folder
     events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
+    events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return events.dropDuplicatesWithinWatermark(["event_id"])
 
 
