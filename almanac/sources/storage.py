@@ -12,10 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below `spark.checkpoint.dir`; below a temporary folder only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="almanac-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="almanac-")
     return f"{base.rstrip('/')}/almanac-{name}-{uuid.uuid4().hex}"
