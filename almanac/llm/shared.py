@@ -17,12 +17,15 @@ from pyspark.sql.types import StructType
 from almanac.llm.text import WORD, slices
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's `spark.checkpoint.dir`; a temporary folder of one's own only where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = tempfile.mkdtemp(prefix="almanac-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="almanac-")
     return folder.rstrip("/")
 
 
