@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.shared import per_slice
-from almanac.llm.text import Words, mix, rolling, words
+from almanac.llm.text import Words, mix, rolling, slices, words
 
 #: Documents that the scorer is trained on, and its buckets.
 TRAIN_DOCS = 4000
@@ -187,15 +187,19 @@ def fit(docs: DataFrame) -> np.ndarray:
     return train_scorer(features, model.good(np.array([r["code"] for r in sample], np.int64)) if sample else np.zeros(0))
 
 
+def _scores(signs: Signs, weights: np.ndarray) -> np.ndarray:
+    """The scorer's probability that each document is good; 0 without words."""
+    sums = np.diff(np.concatenate(([0], np.cumsum(weights[signs.features()].sum(axis=0))))[signs.cut.bounds])
+    return np.where(signs.n > 0, 1 / (1 + np.exp(-sums / np.maximum(signs.n, 1) - weights[-1])), 0.0)
+
+
 def quality_scores(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
     """The kept columns of docs, n_words, the scorer's score, and whether it reaches the threshold."""
     held = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def measure(texts: pa.Array) -> dict:
         signs = Signs(words(texts))
-        weights, bounds = held.value, signs.cut.bounds
-        sums = np.diff(np.concatenate(([0], np.cumsum(weights[signs.features()].sum(axis=0))))[bounds])
-        score = np.where(signs.n > 0, 1 / (1 + np.exp(-sums / np.maximum(signs.n, 1) - weights[-1])), 0.0)
+        score = _scores(signs, held.value)
         return {"n_words": signs.n, "score": score, "kept": score >= threshold}
 
     return per_slice(docs, "n_words long, score double, kept boolean", measure, keep)
@@ -206,12 +210,11 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = held.value
         for batch in batches:
-            signs = Signs(words(batch.column(at)))
-            sums = np.diff(np.concatenate(([0], np.cumsum(weights[signs.features()].sum(axis=0))))[signs.cut.bounds])
-            score = 1 / (1 + np.exp(-sums / np.maximum(signs.n, 1) - weights[-1]))
-            yield batch.filter(pa.array((signs.n > 0) & (score >= threshold)))
+            for a, b in slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                signs = Signs(words(part.column(at)))
+                yield part.filter(pa.array((signs.n > 0) & (_scores(signs, held.value) >= threshold)))
 
     at = docs.columns.index("text")
     return docs.mapInArrow(run, docs.schema)
