@@ -6,19 +6,20 @@ more differ in at most (1/t - 1) times the smaller size; cut into one part more
 than that by the value of the shingles' hashes, they agree on a whole part.
 
 1. Each node sends a signature of each part, for its own class of sizes and the
-   one below.  Nodes that share no signature with another need no search.
+   one below.  There are some more parts than that, so linked sets share several;
+   each node leaves out as many of its most frequent signatures but one.  Nodes
+   that then share no signature with another need no search.
 2. Hubs: each remaining node is compared with the smallest node it shares a
    signature with.  Groups of near copies mostly become one component here, at a
    cost that is linear in their size.  A hub's nodes are dealt into groups of at
    most GROUP.
 3. What is left: nodes that share a signature with a node of another component.
-   Those that hang together by signatures are searched against each other, in
-   pairs of blocks of GROUP nodes at most, so no task holds an unbounded group.
+   Signatures of those that hang together are merged in pairs of blocks of bounded
+   size, and the pairs found are searched, again around hubs.
 
 A search is a T-occurrence problem over an inverted index: the shortest lists are
 heap-merged, the L longest are left out and probed by binary search for the
-candidates that can still reach T (DivideSkip).  Candidates already in the
-query's component are left out.  Links go through large-star small-star.
+candidates that can still reach T (DivideSkip).  Links go through large-star small-star.
 
 Defined results: documents without words have an empty set, link with nothing and
 are their own component; with fewer words than a shingle the whole sequence is
@@ -43,8 +44,11 @@ from almanac.llm.graph import components
 from almanac.llm.shared import release, written
 from almanac.llm.text import Words, mix, rolling, slices, words
 
-#: Most nodes in a group that one task searches.
+#: Most nodes in a group that one task searches, and their shingles; about, as groups are dealt by hash.
 GROUP = 4096
+GROUP_SHINGLES = 4 << 20
+#: Signatures in one block of a cluster.
+GROUP_ROWS = 100_000
 #: Weight of binary search against merging in the choice of L.
 _MU = 0.0085
 
@@ -88,17 +92,21 @@ class Levels:
         self.parts, self.slack = [], []
         for small, large in zip(low, low[1:]):
             differ = (large - 1) * (100 - percent) // percent
-            # Parts beyond those needed, so that empty ones, which say little, needn't be sent.
-            slack = 1 + math.ceil(2 * (differ + 1) * math.exp(-small / (differ + 1)))
+            # Parts beyond those needed, so that empty ones needn't be sent nor the most frequent ones be used.
+            slack = 1 + math.ceil(2 * (differ + 1) * math.exp(-small / (differ + 1))) + (differ + 1) // 5
             self.parts.append(differ + 1 + slack if differ else 0)
             self.slack.append(slack)
         self.parts, self.slack = np.array(self.parts), np.array(self.slack)
 
-    def signatures(self, doc: np.ndarray, values: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures of the parts of each set: documents and signatures."""
+    def signatures(self, doc: np.ndarray, values: np.ndarray, n_docs: int) -> tuple[np.ndarray, ...]:
+        """Signatures of the parts of each set: documents, signatures, how many a linked set shares at least, classes of sizes.
+
+        Linked sets agree on all parts but as many as they may differ in; of these
+        parts only empty ones aren't sent.
+        """
         sizes = np.bincount(doc, minlength=n_docs)
         own = np.searchsorted(self.low, np.maximum(sizes, 1), "right") - 1
-        docs, found = [], []
+        docs, found, needs, classes = [], [], [], []
         for level in (own, own - 1):
             parts = np.where((level >= 0) & (sizes > 0), self.parts[np.maximum(level, 0)], 0)
             use = parts[doc] > 0
@@ -110,12 +118,16 @@ class Levels:
             sums = np.add.reduceat(mix(v), at) if len(at) else np.zeros(0, np.uint64)
             d, part = d[at], part[at]
             empty = parts - np.bincount(d, minlength=n_docs)
-            for x in np.flatnonzero(empty > np.where(parts > 0, self.slack[np.maximum(level, 0)], 0)):
+            slack = np.where(parts > 0, self.slack[np.maximum(level, 0)], 0)
+            need = 1 + slack - np.where(empty > slack, 0, empty)
+            for x in np.flatnonzero(empty > slack):
                 lost = np.setdiff1d(np.arange(parts[x]), part[d == x])
                 d, part, sums = np.append(d, np.full(len(lost), x)), np.append(part, lost), np.append(sums, np.zeros(len(lost), np.uint64))
             docs.append(d)
+            needs.append(need[d])
+            classes.append(level[d])
             found.append(mix(sums + mix(part.astype(np.uint64) * np.uint64(4096) + level[d].astype(np.uint64) + np.uint64(1))))
-        return np.concatenate(docs), np.concatenate(found)
+        return tuple(np.concatenate(x) for x in (docs, found, needs, classes))
 
 
 class Index:
@@ -193,8 +205,8 @@ def _signatures(k: int, percent: int):
                 once = np.zeros(b - a, bool)
                 once[np.unique(keys, return_index=True)[1]] = True  # of equal sets here, one
                 keep = once[doc]
-                doc, found = levels.signatures(doc[keep], values[keep], b - a)
-                yield pa.RecordBatch.from_arrays([_signed(found), _signed(keys[doc])], ["sig", "node"])
+                doc, found, needs, classes = levels.signatures(doc[keep], values[keep], b - a)
+                yield pa.RecordBatch.from_arrays([_signed(found), _signed(keys[doc]), pa.array(needs, pa.int32()), pa.array(classes, pa.int32())], ["sig", "node", "need", "level"])
 
     return run
 
@@ -243,24 +255,45 @@ def _hub_links(percent: int):
     return run
 
 
-def _block_links(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):  # cluster, two blocks: (node, n, shingles, component)
-            rows = sorted({(n, node, component): s for node, n, s, component in group}.items())
-            sets = [np.frombuffer(s, np.uint64) for _, s in rows]
-            index = Index(sets, percent)
-            numbers: dict[int, int] = {}
-            label = np.array([numbers.setdefault(c, len(numbers)) for (_, _, c), _ in rows])
-            out: list[tuple[int, int]] = []
-            for q in range(1, len(rows)):
-                for r in index.search(sets[q], q, label == label[q]).tolist():
-                    if label[r] != label[q]:
-                        out.append((rows[q][0][1], rows[r][0][1]))
-                        label[label == label[r]] = label[q]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
-
-    return run
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by cluster and two blocks: pairs of nodes of different components that share a signature."""
+    for group in _groups(batches, 3):  # cluster, two blocks: (node, component, sig)
+        node, component, sig = (np.array(x, np.int64) for x in zip(*set(group)))
+        names, at = np.unique(node, return_inverse=True)
+        owner = np.empty(len(names), np.int64)
+        owner[at] = component
+        order = np.lexsort((at, sig))
+        at, sig = at[order], sig[order]
+        low, high = np.searchsorted(sig, sig, "left"), np.arange(len(sig))
+        # The lists of a node's signatures, each up to the node itself, are merged.
+        by_node = np.argsort(at, kind="stable")
+        edges = np.searchsorted(at[by_node], np.arange(len(names) + 1))
+        out: list[list[int]] = [[], []]
+        for q in range(len(names)):
+            rows = by_node[edges[q] : edges[q + 1]]
+            sizes = high[rows] - low[rows]
+            if not sizes.sum():
+                continue
+            lists = np.arange(sizes.sum()) + np.repeat(low[rows] - np.cumsum(sizes) + sizes, sizes)
+            others = np.unique(at[lists])
+            keep = owner[others] != owner[q]
+            for r in others[keep].tolist():
+                out[0].append(int(names[q])), out[1].append(int(names[r]))
+            if len(out[0]) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["hub", "node"])
+                out = [[], []]
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["hub", "node"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the pairs (hub, node): each hub's set is searched against its nodes' in groups of bounded size."""
+    sizes = sets.select("node", "n")
+    salts = pairs.join(sizes, "node").groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_SHINGLES)).cast("int").alias("salts"))
+    spokes = pairs.where("node <> hub").join(salts, "hub").select("hub", F.pmod("node", "salts").cast("int").alias("salt"), "node", F.lit(False).alias("own"))
+    centres = salts.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("node"), F.lit(True).alias("own"))
+    grouped = spokes.unionByName(centres).join(sets, "node").select("hub", "salt", "node", "n", "shingles", "own").repartition("hub", "salt").sortWithinPartitions("hub", "salt")
+    return written(grouped.mapInArrow(_hub_links(percent), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -275,9 +308,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"), "text")
     nodes = written(texts.mapInArrow(_nodes(k), f"doc_id {kind}, _row long, n long, node long"), "nodes")
 
-    sent = texts.select("text").mapInArrow(_signatures(k, percent), "sig long, node long")
+    sent = texts.select("text").mapInArrow(_signatures(k, percent), "sig long, node long, need int, level int")
     by_sig = Window.partitionBy("sig")
-    shared = sent.withColumns({"hub": F.min("node").over(by_sig), "last": F.max("node").over(by_sig)}).where("hub < last").select("sig", "node", "hub").distinct()
+    ends = {"hub": F.min("node").over(by_sig), "last": F.max("node").over(by_sig)}
+    shared = sent.withColumns({**ends, "m": F.count("*").over(by_sig)}).where("hub < last").select("sig", "node", "need", "level", "m").distinct()
+    # Linked sets share `need` signatures: one at least is left if each leaves out its need - 1 most frequent ones.
+    frequent = F.row_number().over(Window.partitionBy("node", "level").orderBy(F.desc("m"), F.desc("sig")))
+    shared = shared.withColumn("rank", frequent).where("rank >= need").withColumns(ends).where("hub < last").select("sig", "node", "hub").distinct()
     shared = written(shared, "signatures")
     release(spark)
 
@@ -287,27 +324,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = written(wanted.mapInArrow(_sets(k), "node long, n long, shingles binary"), "sets")
     release(spark)
 
-    salts = hubs.groupBy("hub").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
-    spokes = hubs.where("node <> hub").join(salts, "hub").select("hub", F.pmod("node", "salts").cast("int").alias("salt"), "node", F.lit(False).alias("own"))
-    centres = salts.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("node"), F.lit(True).alias("own"))
-    grouped = spokes.unionByName(centres).join(sets, "node").select("hub", "salt", "node", "n", "shingles", "own").repartition("hub", "salt").sortWithinPartitions("hub", "salt")
-    links = written(grouped.mapInArrow(_hub_links(percent), "a long, b long"), "links")
+    links = _verified(hubs, sets, percent)
     first = components(links)
     release(spark)
 
     named = shared.join(first, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("component"))
     mixed = named.withColumns({"least": F.min("component").over(by_sig), "last": F.max("component").over(by_sig)}).where("least < last")
-    mixed = written(mixed.select("node", "component", "least").distinct(), "mixed")
+    mixed = written(mixed.select("sig", "node", "component", "least"), "mixed")
     if not mixed.isEmpty():
-        clusters = components(mixed.select(F.col("component").alias("a"), F.col("least").alias("b")))
-        members = mixed.select("node", "component").distinct().join(clusters.withColumnRenamed("node", "component"), "component", "left").select("node", "component", F.coalesce("root", "component").alias("cluster"))
+        clusters = components(mixed.select(F.col("component").alias("a"), F.col("least").alias("b")).distinct())
+        members = mixed.join(clusters.withColumnRenamed("node", "component"), "component", "left").select("sig", "node", "component", F.coalesce("root", "component").alias("cluster"))
         members = written(members, "members")
-        blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / (GROUP // 2)).cast("int").alias("blocks"))
-        block = F.pmod("node", "blocks").cast("int")
-        pairs = members.join(blocks, "cluster").withColumn("x", block).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pairs = pairs.select("cluster", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "node", "component").join(sets, "node")
-        pairs = pairs.select("cluster", "x", "y", "node", "n", "shingles", "component").repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
-        more = written(pairs.mapInArrow(_block_links(percent), "a long, b long"), "links")
+        blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("blocks"))
+        pairs = members.join(blocks, "cluster").withColumn("x", F.pmod("node", "blocks").cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = pairs.select("cluster", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "node", "component", "sig").repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+        pairs = written(pairs.mapInArrow(_block_pairs, "hub long, node long").distinct(), "pairs")
+        more = _verified(pairs, sets, percent)
         first = components(links.union(more))
         release(spark)
 

@@ -176,6 +176,7 @@ def brute_components(rows, k, percent):
 @pytest.mark.parametrize(("k", "percent", "group"), [(3, 90, 4096), (5, 80, 4096), (1, 70, 8), (3, 80, 4)])
 def test_join_loses_no_link(spark, monkeypatch, k, percent, group):
     monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "GROUP_ROWS", 25 * group)
     rows = near_copies()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()}
     assert got == brute_components(rows, k, percent)
