@@ -101,8 +101,9 @@ class Levels:
     def signatures(self, doc: np.ndarray, values: np.ndarray, n_docs: int) -> tuple[np.ndarray, ...]:
         """Signatures of the parts of each set: documents, signatures, how many a linked set shares at least, classes of sizes.
 
-        Linked sets agree on all parts but as many as they may differ in; of these
-        parts only empty ones aren't sent.
+        Linked sets agree on 1 + slack parts at least.  Sets with more than slack empty
+        ones send these too, but those linked with them may have fewer and send none: sure
+        to be shared are only as many as are left without them, 1 at least.
         """
         sizes = np.bincount(doc, minlength=n_docs)
         own = np.searchsorted(self.low, np.maximum(sizes, 1), "right") - 1
@@ -119,7 +120,7 @@ class Levels:
             d, part = d[at], part[at]
             empty = parts - np.bincount(d, minlength=n_docs)
             slack = np.where(parts > 0, self.slack[np.maximum(level, 0)], 0)
-            need = 1 + slack - np.where(empty > slack, 0, empty)
+            need = 1 + slack - np.minimum(empty, slack)
             for x in np.flatnonzero(empty > slack):
                 lost = np.setdiff1d(np.arange(parts[x]), part[d == x])
                 d, part, sums = np.append(d, np.full(len(lost), x)), np.append(part, lost), np.append(sums, np.zeros(len(lost), np.uint64))

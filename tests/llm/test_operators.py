@@ -182,6 +182,38 @@ def test_join_loses_no_link(spark, monkeypatch, k, percent, group):
     assert got == brute_components(rows, k, percent)
 
 
+def threshold_pairs(sizes=range(4, 29, 4), n=1000):
+    """Texts by twos: n shingles of five words, and the same with n / 4 more, a similarity of 0.8 exactly."""
+    pairs = []
+    for size in sizes:
+        for i in range(n):
+            words = [f"n{size}i{i}w{j}" for j in range(size + size // 4 + 4)]
+            pairs += [" ".join(words[: size + 4]), " ".join(words)]
+    return pairs
+
+
+def test_linked_sets_share_as_many_signatures_as_they_need():
+    texts, lost = threshold_pairs(), []
+    doc, values = jaccard.shingles(text.words(pa.array(texts), lower=True), 5)
+    sent = [{} for _ in texts]
+    for d, sig, need, level in zip(*(x.tolist() for x in jaccard.Levels(80).signatures(doc, values, len(texts)))):
+        sent[d].setdefault(level, (need, set()))[1].add(sig)
+    for i in range(0, len(texts), 2):
+        a, b = sent[i], sent[i + 1]
+        if not any(len(a[x][1] & b[x][1]) >= max(a[x][0], b[x][0]) for x in a.keys() & b.keys()):
+            lost.append(texts[i])
+    assert not lost, (len(lost), lost[0])
+
+
+def test_join_links_sets_with_most_parts_empty(spark):
+    pairs = threshold_pairs([4])
+    doc, values = jaccard.shingles(text.words(pa.array(pairs), lower=True), 5)
+    full = [len(set((values[doc == d] >> np.uint64(62)).tolist())) for d in range(len(pairs))]  # of four parts
+    i = next(i for i in range(0, len(pairs), 2) if full[i] == 1 and full[i + 1] == 2)
+    rows = list(enumerate(pairs[i : i + 2]))
+    assert [r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()] == [0, 0]
+
+
 def test_search_finds_what_brute_force_finds():
     rng = np.random.default_rng(5)
     base = rng.choice(10_000, 60, replace=False)
