@@ -157,6 +157,25 @@ def test_model_is_causal_learns_and_scores_each_id_once():
     assert model.score(pattern, np.array([0, 4000]))[0] > 0.3 * before
 
 
+def test_model_learns_from_documents_with_any_hash(spark):
+    """A text that a fifth of the documents have, all with hashes above those of 4,000 others, is not scored as unseen."""
+    often, rare, never = "the cat sat on the mat", "seven green boats sail north", "purple engines hum beneath glaciers"
+    rows = [(i, t) for i in range(12_000) for t in (often, rare)]
+    keyed = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    low, high = keyed.where((F.col("text") == often) & (F.col("key") < 0)).limit(5000), keyed.where((F.col("text") == rare) & (F.col("key") > 0)).limit(1200)
+    docs = low.unionByName(high).drop("key").unionByName(spark.createDataFrame([(-1, never)], "doc_id long, text string"))
+    score = {r["text"]: r["s"] for r in docs.join(language_model.lm_scores(docs, path("word_bpe_49k.json")), "doc_id").groupBy("text").agg(F.avg("score").alias("s")).collect()}
+    assert score[rare] > score[never] / 4
+
+
+def test_shards_train_one_model(spark, docs, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD_DOCS", 60)
+    texts = language_model._texts(docs).where("NOT held_out")
+    found = [language_model.fit(texts.repartition(n), path("word_bpe_49k.json"), texts.count()) for n in (1, 5)]
+    for k in found[0].w:
+        assert np.allclose(found[0].w[k], found[1].w[k], atol=1e-4)
+
+
 # 3 Jaccard join
 
 
