@@ -22,12 +22,17 @@ BUCKETS = 16
 LATE = "1 day"
 
 
-def read_events(spark: SparkSession, path: str, files_per_batch: int = 8, late: str = LATE) -> DataFrame:
-    """Raw events as they arrive in a folder, or in one file; repeated ones are known, and late ones taken, within `late`."""
+def read_events(spark: SparkSession, path: str, files_per_batch: int = 8, late: str | None = LATE) -> DataFrame:
+    """Raw events as they arrive in a folder, or in one file; repeated ones are known, and late ones taken, within `late`.
+
+    late=None: all of them, whatever their order, for runs to the end of a table; the ids seen are kept.
+    """
     path = f"{path[:-1]}[{path[-1]}]"  # a pattern may name a file, a plain path of a stream must be a folder
     events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return events.dropDuplicatesWithinWatermark(["event_id"])
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if late is None:
+        return events.dropDuplicates(["event_id"])
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def wish_counts(log: DataFrame) -> DataFrame:
@@ -84,17 +89,17 @@ def run_to_end(folded: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def stream_wishlist(spark: SparkSession, path: str) -> DataFrame:
     """(user_id, item_id): what users wish for after all events so far."""
-    state = run_to_end(wish_counts(actions(read_events(spark, path))), shelf.KEY, "wishlist")
+    state = run_to_end(wish_counts(actions(read_events(spark, path, late=None))), shelf.KEY, "wishlist")
     return state.where("n % 2 = 1").select(*shelf.KEY)
 
 
 def stream_shelf(spark: SparkSession, path: str) -> DataFrame:
     """(user_id, item_id, shelf_status) after all events so far."""
-    return run_to_end(shelf_marks(actions(read_events(spark, path))), shelf.KEY, "shelf").where("shelf_status IS NOT NULL")
+    return run_to_end(shelf_marks(actions(read_events(spark, path, late=None))), shelf.KEY, "shelf").where("shelf_status IS NOT NULL")
 
 
 def stream_release_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, new_date, kind, seq): the newest official statement on each item so far."""
-    feed = announcements(read_events(spark, f"{sf_dir}/events.parquet"), table(spark, sf_dir, "orders"))
+    feed = announcements(read_events(spark, f"{sf_dir}/events.parquet", late=None), table(spark, sf_dir, "orders"))
     last = F.max_by(F.struct("new_date", "kind", "seq"), "seq").alias("s")
     return run_to_end(history.official(feed).groupBy("item_id").agg(last), ["item_id"], "dates").select("item_id", "s.*")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import columns as C
 from almanac.operators import calendar, history, predicates, quality, ranking, shelf
+from almanac.plans.queries import QUERIES
 from almanac.sources.schemas import DIMENSIONS, EVENTS
 from almanac.sources.tables import actions
 from almanac.streaming import folds
@@ -166,3 +167,13 @@ def test_stream_equals_batch_with_repeated_and_shuffled_files(spark, tmp_path):
     assert {tuple(r) for r in state.where("n % 2 = 1").select(*shelf.KEY).collect()} == {tuple(r) for r in shelf.wishlist_current(batch).select(*shelf.KEY).collect()}
     marks = folds.run_to_end(folds.shelf_marks(actions(stream)), shelf.KEY, "shelf").where("shelf_status IS NOT NULL")
     assert {tuple(r) for r in marks.collect()} == {tuple(r) for r in shelf.shelf_current(batch).collect()}
+
+
+def test_registered_streams_equal_batch_on_many_shuffled_files(spark, tmp_path):
+    events = spark.read.schema(EVENTS).parquet("/root/testdata/sf0.001/events.parquet")
+    events.orderBy(F.rand(3)).repartition(20).write.parquet(str(tmp_path / "events.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/orders.parquet").write.parquet(str(tmp_path / "orders.parquet"))
+    for stream, batch in (("stream_wishlist", "wishlist_current"), ("stream_shelf", "shelf_current"), ("stream_release_date", "current_release_date")):
+        got, want = QUERIES[stream](spark, str(tmp_path)), QUERIES[batch](spark, str(tmp_path))
+        shared = [c for c in got.columns if c in want.columns]
+        assert {tuple(r) for r in got.select(shared).collect()} == {tuple(r) for r in want.select(shared).collect()}, stream
