@@ -8,6 +8,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,41 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def as_slices(x: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """Rows (slice, at, by) for add_up(): n slices of a vector, without those that are 0; of sparse ones only places and values."""
+    width = -(-len(x) // n)
+    rows: list[tuple] = []
+    for i in range(n):
+        part = x[i * width : (i + 1) * width].astype("<f8")
+        at = np.flatnonzero(part).astype("<i4")
+        if len(at):
+            rows.append((i, None, part.tobytes()) if 3 * len(at) > 2 * len(part) else (i, at.tobytes(), part[at].tobytes()))
+    part, at, by = zip(*rows) if rows else ((), (), ())
+    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(at, pa.binary()), pa.array(by, pa.binary())], ["slice", "at", "by"])
+
+
+def add_up(parts: DataFrame, length: int, n: int) -> np.ndarray:
+    """The sum of vectors of one length, whose slices are rows (slice, at, by); a task adds up whole slices."""
+    width = -(-length // n)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, at, by in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                total = found.setdefault(part, np.zeros(width))
+                by = np.frombuffer(by, "<f8")
+                if at is None:
+                    total[: len(by)] += by
+                else:
+                    total[np.frombuffer(at, "<i4")] += by
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["slice", "total"])
+
+    total = np.zeros(width * n)
+    for r in parts.repartition("slice").mapInArrow(add, "slice int, total binary").collect():
+        total[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["total"], "<f8")
+    return total[:length]
+
+
 def n_words(text: Column) -> Column:
     """Words of a text (null: 0), without Python."""
     return F.coalesce(F.size(F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")), F.lit(0)).cast("long")
@@ -77,4 +113,4 @@ def per_slice(docs: DataFrame, added: str, measure: Callable[[pa.Array], dict],
     return docs.select(*keep, F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-__all__ = ["WORD", "n_words", "new_path", "per_slice", "release", "shared_folder", "written"]
+__all__ = ["WORD", "add_up", "as_slices", "n_words", "new_path", "per_slice", "release", "shared_folder", "written"]

@@ -195,7 +195,6 @@ def brute_components(rows, k, percent):
 @pytest.mark.parametrize(("k", "percent", "group"), [(3, 90, 4096), (5, 80, 4096), (1, 70, 8), (3, 80, 4)])
 def test_join_loses_no_link(spark, monkeypatch, k, percent, group):
     monkeypatch.setattr(jaccard, "GROUP", group)
-    monkeypatch.setattr(jaccard, "GROUP_ROWS", 25 * group)
     rows = near_copies()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()}
     assert got == brute_components(rows, k, percent)
@@ -211,26 +210,59 @@ def threshold_pairs(sizes=range(4, 29, 4), n=1000):
     return pairs
 
 
-def test_linked_sets_share_as_many_signatures_as_they_need():
-    texts, lost = threshold_pairs(), []
+@pytest.mark.parametrize("seed", range(4))
+def test_linked_sets_meet_at_the_first_shingle_they_share(seed):
+    """Whatever the counts are, also where most shingles share a cell."""
+    texts = threshold_pairs(n=300)
     doc, values = jaccard.shingles(text.words(pa.array(texts), lower=True), 5)
-    sent = [{} for _ in texts]
-    for d, sig, need, level in zip(*(x.tolist() for x in jaccard.Levels(80).signatures(doc, values, len(texts)))):
-        sent[d].setdefault(level, (need, set()))[1].add(sig)
+    rank = np.random.default_rng(seed).integers(0, 1 + 80 * seed, 1 << (4 * seed), dtype=np.uint8)
+    sizes, sent = np.bincount(doc), [{} for _ in texts]
+    for d, sig, at in zip(*(x.tolist() for x in jaccard.prefixes(doc, values, len(texts), rank, 80))):
+        sent[d][sig] = at
     for i in range(0, len(texts), 2):
-        a, b = sent[i], sent[i + 1]
-        if not any(len(a[x][1] & b[x][1]) >= max(a[x][0], b[x][0]) for x in a.keys() & b.keys()):
-            lost.append(texts[i])
-    assert not lost, (len(lost), lost[0])
-
-
-def test_join_links_sets_with_most_parts_empty(spark):
-    pairs = threshold_pairs([4])
-    doc, values = jaccard.shingles(text.words(pa.array(pairs), lower=True), 5)
-    full = [len(set((values[doc == d] >> np.uint64(62)).tolist())) for d in range(len(pairs))]  # of four parts
-    i = next(i for i in range(0, len(pairs), 2) if full[i] == 1 and full[i + 1] == 2)
-    rows = list(enumerate(pairs[i : i + 2]))
-    assert [r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()] == [0, 0]
+        n, m = sizes[i : i + 2].tolist()
+        needed = -(-80 * (n + m) // 180)
+        assert any(n - sent[i][s] >= needed and m - sent[i + 1][s] >= needed for s in sent[i].keys() & sent[i + 1].keys()), texts[i]
+
+
+def small_sets(rng, n):
+    """Texts of 1 to 30 shingles of one word, many at the threshold of others: words of a few are added, dropped or replaced."""
+    rows = []
+    while len(rows) < n:
+        base = rng.sample(range(400), rng.randrange(1, 31))
+        for _ in range(rng.randrange(1, 9)):
+            words = list(base)
+            for _ in range(rng.randrange(0, 1 + max(1, len(base) // 4))):
+                move = rng.randrange(3)
+                if move == 0 and len(words) > 1:
+                    words.pop(rng.randrange(len(words)))
+                elif move == 1:
+                    words.append(rng.randrange(400))
+                else:
+                    words[rng.randrange(len(words))] = rng.randrange(400)
+            rows.append((len(rows), " ".join(f"w{w}" for w in words)))
+    return rows
+
+
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_join_of_small_sets(spark, percent):
+    rows = small_sets(random.Random(percent), 900)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, percent).collect()}
+    assert got == brute_components(rows, 1, percent)
+
+
+def test_hot_lists_without_a_base_make_few_rows(spark, monkeypatch):
+    """Copies of a text that is not there itself, some linked in chains, searched in blocks."""
+    monkeypatch.setattr(jaccard, "GROUP", 60)
+    rng, rows = random.Random(8), []
+    base = [f"b{i}" for i in range(90)]
+    for i in range(260):
+        words = list(base)
+        for j in rng.sample(range(90), rng.choice((3, 4, 6, 9))):
+            words[j] = f"e{i // 2}x{j}" if i % 3 else f"e{i}x{j}"
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 90).collect()}
+    assert got == brute_components(rows, 1, 90)
 
 
 def test_search_finds_what_brute_force_finds():
