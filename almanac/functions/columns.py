@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from almanac.sources.schemas import DIMENSIONS, OUT_NOW, TBA, TODAY
 
 #: Unicode white space that a keyword loses at its ends; Spark's own trim knows the blank only.
-_SPACES = "\t\n\x0b\x0c\r \xa0                　﻿"
+SPACES = "\t\n\x0b\x0c\r \xa0                　﻿"
 
 
 def keyword(query: str) -> str:
     """The search text as it is compared: trimmed and in lower case."""
-    return query.strip(_SPACES).lower()
+    return query.strip(SPACES).lower()
 
 
 def contains_keyword(query: str, *fields: str, arrays: tuple[str, ...] = ()) -> Column:

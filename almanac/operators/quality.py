@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from almanac.functions.columns import SPACES
 from almanac.sources.schemas import DIMENSIONS, KINDS, SCORE_MODES, SIGNALS, STATUSES
 
 
@@ -30,7 +31,7 @@ def item_rules(snapshot: str, platforms: tuple[str, ...], regions: tuple[str, ..
     text = date.cast("string")
     known = lambda c, values: F.col(c).isin(*values)
     rules = [
-        Rule("Q2", F.trim("title") != "", F.col("title")),
+        Rule("Q2", F.trim("title", F.lit(SPACES)) != "", F.col("title")),
         Rule("Q3", F.startswith("source_url", F.lit("https://")), F.col("source_url")),
         Rule("Q4", F.col("checked_at") == day, F.col("checked_at").cast("string")),
         Rule("Q5", F.length("evidence") >= 18, F.col("evidence")),
@@ -53,7 +54,7 @@ def item_rules(snapshot: str, platforms: tuple[str, ...], regions: tuple[str, ..
 
 def signal_rules() -> list[Rule]:
     return [
-        Rule("Q13", F.rlike("date", F.lit(r"^\d{4}-\d{2}-\d{2}$")), F.col("date")),
+        Rule("Q13", F.rlike("date", F.lit(r"^\d{4}-\d{2}-\d{2}\z")), F.col("date")),
         Rule("Q14", F.startswith("source_url", F.lit("https://")), F.col("source_url")),
         Rule("Q15", F.length("detail") >= 20, F.col("detail")),
         Rule("Q16.kind", F.col("kind").isin(*KINDS), F.col("kind")),

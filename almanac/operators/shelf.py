@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from almanac.functions.columns import label, mean_score, or_else
 from almanac.sources.schemas import DIMENSIONS, OWN_SCORES_LABEL, SCORE_MODE_LABELS, SHELF_LABELS, STATE, WISHLIST_LABEL
@@ -122,21 +121,16 @@ def decode_documents(documents: DataFrame) -> DataFrame:
 
 
 def exploded_state(decoded: DataFrame) -> DataFrame:
-    """(user_id, kind, item_id, value): one row for each entry of each document."""
-    wishes = decoded.select("user_id", F.lit("wishlist").alias("kind"), F.explode("wishlist").alias("item_id"), F.lit(None).cast("string").alias("value"))
-    shelf = decoded.select("user_id", F.lit("shelf").alias("kind"), F.explode("shelf").alias("item_id", "value"))
-    ratings = decoded.select("user_id", F.lit("rating").alias("kind"), F.explode("ratings").alias("item_id", "_s")).select("user_id", "kind", "item_id", F.concat_ws("/", *(F.coalesce(F.col(f"_s.{d}").cast("string"), F.lit("-")) for d in DIMENSIONS)).alias("value"))
-    notes = decoded.select("user_id", F.lit("note").alias("kind"), F.explode("notes").alias("item_id", "value"))
-    return wishes.union(shelf).union(ratings).union(notes)
+    """(user_id, kind, item_id, value): one row for each entry of each document, from one pass."""
+    none = F.lit(None).cast("string")
+    entry = lambda kind, item, value: F.struct(F.lit(kind).alias("kind"), item.alias("item_id"), value.alias("value"))
+    entries = lambda kind, value: F.transform(F.map_entries({"rating": "ratings", "note": "notes"}.get(kind, kind)), lambda e: entry(kind, e["key"], value(e["value"])))
+    scores = lambda s: F.concat_ws("/", *(F.coalesce(s[d].cast("string"), F.lit("-")) for d in DIMENSIONS))
+    every = F.concat(F.transform("wishlist", lambda x: entry("wishlist", x, none)), entries("shelf", lambda v: v), entries("rating", scores), entries("note", lambda v: v))
+    return decoded.select("user_id", F.explode(every).alias("_e")).select("user_id", "_e.*")
 
 
 def write_state(documents: DataFrame, path: str, buckets: int = 64) -> None:
     """Replace whole documents, in the buckets of users that are there; other buckets stay as they are."""
     bucketed = documents.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)))
     bucketed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def latest_rows(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    """The row of each key that comes last."""
-    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
-    return rows.withColumn("_n", last).where("_n = 1").drop("_n")

@@ -106,6 +106,13 @@ signal AS (SELECT seq AS key, CASE WHEN seq % 11 = 0 THEN strftime(published_on,
   FROM feed LEFT JOIN pages ON page_id = seq % (SELECT count(*) FROM pages))"""
 _IDS = "(SELECT o_orderkey, count(*) AS n FROM orders GROUP BY 1)"
 
+#: Each user's state as the text of one JSON document; parts and scores that are absent are left out.
+_DOCUMENTS = f"""SELECT user_id, '{{' || concat_ws(',', '"wishlist":[' || w.part || ']', '"shelf":{{' || s.part || '}}', '"ratings":{{' || r.part || '}}', '"notes":{{' || n.part || '}}') || '}}' AS doc
+FROM (SELECT user_id, string_agg('"' || item_id || '"', ',' ORDER BY seq, item_id) AS part FROM wishlist GROUP BY 1) w
+FULL JOIN (SELECT user_id, string_agg('"' || item_id || '":"' || shelf_status || '"', ',' ORDER BY CAST(item_id AS VARCHAR)) AS part FROM shelf GROUP BY 1) s USING (user_id)
+FULL JOIN (SELECT user_id, string_agg('"' || item_id || '":{{' || concat_ws(',', {', '.join(f"""'"{d}":' || CAST({d} AS VARCHAR)""" for d in DIMENSIONS)}) || '}}', ',' ORDER BY CAST(item_id AS VARCHAR)) AS part FROM ratings GROUP BY 1) r USING (user_id)
+FULL JOIN (SELECT user_id, string_agg('"' || item_id || '":' || CAST(to_json(note) AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS part FROM notes GROUP BY 1) n USING (user_id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "catalog_scan": _on_catalog(f"SELECT item_id, ordinal, title, original_title, developer, publisher, country, region, status, signal, {_DATE}, date_label, array_to_string(platforms, ',') AS platforms, array_to_string(genres, ',') AS genres, {_DOUBLES}, score_mode, featured FROM catalog"),
     "signal_scan": _on_feed("SELECT seq, item_id, CAST(published_on AS VARCHAR) AS published_on, kind, CAST(new_date AS VARCHAR) AS new_date FROM feed"),
@@ -114,7 +121,7 @@ ORACLE_SQL: dict[str, str] = {
 FROM (SELECT c.* EXCLUDE ({', '.join(DIMENSIONS)}), {_OWN('c')}, w.item_id IS NOT NULL AS wished FROM catalog c LEFT JOIN (SELECT * FROM ratings WHERE user_id = {USER}) ratings ON ratings.item_id = c.item_id LEFT JOIN (SELECT * FROM wishlist WHERE user_id = {USER}) w ON w.item_id = c.item_id) c"""),
     "platform_explode": _on_catalog("SELECT item_id, platform, substr(platform, 1, 1) || '-' || substr(platform, 2, 1) AS platform_label FROM (SELECT item_id, unnest(platforms) AS platform FROM catalog)"),
     "scalar_formats": _on_catalog("""SELECT item_id, strftime(release_date, '%Y.%m.%d') AS dotted, strftime(release_date, '%Y-%m') AS month, strftime(release_date, '%Y') AS year, strftime(release_date, '%m') AS month_number, strftime(release_date, '%d') AS day,
-upper(substr(CASE WHEN item_id < 10 THEN '0' || item_id ELSE CAST(item_id AS VARCHAR) END, 1, 2)) || ' / ' || substr(developer, 1, 4) AS art_index, array_to_string(platforms, ' · ') AS platforms, CAST(CAST(round(mean, 1) AS DECIMAL(6,1)) AS VARCHAR) AS mean_text FROM catalog"""),
+upper(substr(CASE WHEN item_id < 10 THEN '0' || item_id ELSE CAST(item_id AS VARCHAR) END, 1, 2)) || ' / ' || substr(date_label, 1, 4) AS art_index, array_to_string(platforms, ' · ') AS platforms, CAST(CAST(round(mean, 1) AS DECIMAL(6,1)) AS VARCHAR) AS mean_text FROM catalog"""),
     "countdown": _on_catalog(f"SELECT item_id, {_DAYS} AS days, {_COUNTDOWN} FROM catalog"),
     "radar": _on_catalog(f"""SELECT row_number() OVER (ORDER BY featured DESC, release_date DESC NULLS LAST, ordinal) AS rank, item_id, title, developer, region, status, {_DATE}, featured, {_MEAN}
 FROM (SELECT * FROM catalog WHERE {_RADAR} ORDER BY featured DESC, release_date DESC NULLS LAST, ordinal LIMIT 20)"""),
@@ -135,16 +142,16 @@ FROM (SELECT c.* EXCLUDE ({', '.join(DIMENSIONS)}), {_OWN('c')}, coalesce(note,
     "sort_score_topk": _top("mean DESC NULLS LAST"),
     "signal_latest": _on_feed("SELECT '0' || row_number() OVER (ORDER BY published_on DESC, seq DESC) AS display_index, seq, item_id, strftime(published_on, '%Y.%m.%d') AS published, kind FROM (SELECT * FROM feed ORDER BY published_on DESC, seq DESC LIMIT 4)"),
     "score_mean": _on_catalog(f"SELECT item_id, {_MEAN} FROM catalog"),
-    "effective_scores": _on_state(f"SELECT user_id, item_id, {_DOUBLES}, {_SUM} AS mean, CAST(gameplay * 10 AS DOUBLE) AS gameplay_bar, mode_label FROM (SELECT ids.user_id, ids.item_id, {_OWN('catalog')} FROM ids JOIN catalog USING (item_id) LEFT JOIN ratings ON ratings.user_id = ids.user_id AND ratings.item_id = ids.item_id)"),
+    "effective_scores": _on_state(f"SELECT user_id, item_id, {_DOUBLES}, {_SUM} AS mean, {', '.join(f'CAST({d} * 10 AS DOUBLE) AS {d}_bar' for d in DIMENSIONS)}, mode_label FROM (SELECT ids.user_id, ids.item_id, {_OWN('catalog')} FROM ids JOIN catalog USING (item_id) LEFT JOIN ratings ON ratings.user_id = ids.user_id AND ratings.item_id = ids.item_id)"),
     "result_counts": _on_catalog(f"SELECT count(*) FILTER (WHERE {_RADAR}) AS shown, count(*) AS total FROM catalog"),
     "facet_status": _on_catalog("SELECT coalesce(status, 'all') AS status, count(*) AS n FROM catalog GROUP BY ROLLUP (catalog.status)"),
     "dated_counts": _on_catalog("SELECT count(release_date) AS dated, count(*) - count(release_date) AS undated FROM catalog"),
-    "release_calendar": _on_catalog(f"SELECT strftime(release_date, '%Y-%m') AS release_month, strftime(release_date, '%d') AS day, item_id, title, original_title, {_STATUS}, {_PLATFORMS} FROM catalog WHERE release_date IS NOT NULL"),
+    "release_calendar": _on_catalog(f"SELECT strftime(release_date, '%Y-%m') AS release_month, strftime(release_date, '%d') AS day, {_DATE}, ordinal, item_id, title, original_title, {_STATUS}, {_PLATFORMS} FROM catalog WHERE release_date IS NOT NULL"),
     "calendar_month_counts": _on_catalog("SELECT strftime(release_date, '%Y-%m') AS release_month, count(*) AS n FROM catalog WHERE release_date IS NOT NULL GROUP BY 1"),
     "wishlist_current": _on_state("SELECT * FROM wishlist"),
     "shelf_current": _on_state("SELECT * FROM shelf"),
     "ratings_current": _on_state(f"SELECT user_id, item_id, {_DOUBLES} FROM ratings"),
-    "notes_current": _on_state("SELECT * FROM notes"),
+    "notes_current": _on_state("SELECT *, length(note) AS note_length FROM notes"),
     "personal_ids": _on_state("SELECT * FROM ids"),
     "my_shelf": _on_state(f"""SELECT user_id, item_id, shelf_label, title, note_text, {_DOUBLES}, {_SUM} AS mean FROM (SELECT ids.user_id, ids.item_id, coalesce({_case('shelf_status', SHELF_LABELS)}, '{WISHLIST_LABEL}') AS shelf_label, title, coalesce(nullif(note, ''), fit) AS note_text, {_OWN('catalog')}
 FROM ids JOIN catalog USING (item_id) LEFT JOIN shelf ON shelf.user_id = ids.user_id AND shelf.item_id = ids.item_id LEFT JOIN notes ON notes.user_id = ids.user_id AND notes.item_id = ids.item_id LEFT JOIN ratings ON ratings.user_id = ids.user_id AND ratings.item_id = ids.item_id)"""),
@@ -152,6 +159,7 @@ FROM ids JOIN catalog USING (item_id) LEFT JOIN shelf ON shelf.user_id = ids.use
     "shelf_stats": _on_state("""SELECT user_id, count(*) FILTER (WHERE tag = 'wish') AS wishlist_size, count(*) FILTER (WHERE tag = 'playing') AS playing, count(*) FILTER (WHERE tag = 'finished') AS finished, count(*) FILTER (WHERE tag = 'rating') AS rated FROM (
 SELECT user_id, 'wish' AS tag FROM wishlist UNION ALL SELECT user_id, 'rating' FROM ratings UNION ALL SELECT user_id, CASE WHEN item_id IN (SELECT item_id FROM catalog) THEN shelf_status END FROM shelf) GROUP BY user_id"""),
     "state_orphans": _on_state("SELECT kind, user_id, item_id FROM (" + " UNION ALL ".join(f"SELECT '{kind}' AS kind, user_id, item_id FROM {t}" for kind, t in (("wishlist", "wishlist"), ("shelf", "shelf"), ("rating", "ratings"), ("note", "notes"))) + ") WHERE item_id NOT IN (SELECT item_id FROM catalog)"),
+    "state_encode": _on_state(_DOCUMENTS),
     "state_decode": _on_state("SELECT user_id, " + ", ".join(f"CASE WHEN user_id % 7 = 0 THEN 0 ELSE count(*) FILTER (WHERE tag = '{t}') END AS n_{t}" for t in ("wishlist", "shelf", "ratings", "notes")) + ", user_id % 7 = 0 AS corrupt FROM (" + " UNION ALL ".join(f"SELECT user_id, '{t}' AS tag FROM {t}" for t in ("wishlist", "shelf", "ratings", "notes")) + ") GROUP BY user_id"),
     "state_explode": _on_state(f"""SELECT * FROM (SELECT user_id, 'wishlist' AS kind, CAST(item_id AS VARCHAR) AS item_id, CAST(NULL AS VARCHAR) AS value FROM wishlist UNION ALL SELECT user_id, 'shelf', CAST(item_id AS VARCHAR), shelf_status FROM shelf
 UNION ALL SELECT user_id, 'rating', CAST(item_id AS VARCHAR), {" || '/' || ".join(f"coalesce(CAST({d} AS VARCHAR), '-')" for d in DIMENSIONS)} FROM ratings UNION ALL SELECT user_id, 'note', CAST(item_id AS VARCHAR), note FROM notes) WHERE user_id % 7 <> 0"""),

@@ -101,7 +101,7 @@ def platform_explode(spark, sf_dir):
 def scalar_formats(spark, sf_dir):
     items = tables.catalog(spark, sf_dir)
     date = lambda f, n: F.date_format("release_date", f).alias(n)
-    index = F.concat(F.upper(F.substring(F.lpad(F.col("item_id").cast("string"), 2, "0"), 1, 2)), F.lit(" / "), F.substring("developer", 1, 4)).alias("art_index")
+    index = F.concat(F.upper(F.substring(F.lpad(F.col("item_id").cast("string"), 2, "0"), 1, 2)), F.lit(" / "), F.substring("date_label", 1, 4)).alias("art_index")
     return items.select("item_id", date("yyyy.MM.dd", "dotted"), date("yyyy-MM", "month"), date("yyyy", "year"), date("MM", "month_number"), date("dd", "day"), index, F.array_join("platforms", " · ").alias("platforms"), C.one_decimal(C.mean_score()).alias("mean_text"))
 
 
@@ -201,7 +201,7 @@ def effective_scores(spark, sf_dir):
     state = _state(spark, sf_dir, items)
     pairs = shelf.personal_ids(state["wishlist"], state["shelf"]).join(items.select("item_id", "score_mode", *DIMENSIONS), "item_id")
     rows = shelf.effective_scores(pairs, state["ratings"])
-    return rows.select("user_id", "item_id", *_doubles(), C.mean_score().cast("double").alias("mean"), (F.col("gameplay") * 10).cast("double").alias("gameplay_bar"), "mode_label")
+    return rows.select("user_id", "item_id", *_doubles(), C.mean_score().cast("double").alias("mean"), *((F.col(d) * 10).cast("double").alias(f"{d}_bar") for d in DIMENSIONS), "mode_label")
 
 
 @query
@@ -221,7 +221,7 @@ def dated_counts(spark, sf_dir):
 
 @query
 def release_calendar(spark, sf_dir):
-    return calendar.calendar_rows(tables.catalog(spark, sf_dir)).drop("release_date", "ordinal")
+    return calendar.calendar_rows(tables.catalog(spark, sf_dir)).withColumn("release_date", _text("release_date"))
 
 
 @query
@@ -249,7 +249,7 @@ def ratings_current(spark, sf_dir):
 
 @query
 def notes_current(spark, sf_dir):
-    return shelf.notes_current(_log(spark, sf_dir))
+    return shelf.notes_current(_log(spark, sf_dir)).withColumn("note_length", F.length("note").cast("bigint"))
 
 
 @query

@@ -16,9 +16,11 @@ _own: dict[str, str] = {}
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below `spark.checkpoint.dir`; below a temporary folder only where that is unset."""
+    """A fresh path below `spark.checkpoint.dir`; where that is unset, below a temporary folder of a local session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="almanac-")
     return f"{base.rstrip('/')}/almanac-{name}-{uuid.uuid4().hex}"

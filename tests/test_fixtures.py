@@ -177,3 +177,11 @@ def test_registered_streams_equal_batch_on_many_shuffled_files(spark, tmp_path):
         got, want = QUERIES[stream](spark, str(tmp_path)), QUERIES[batch](spark, str(tmp_path))
         shared = [c for c in got.columns if c in want.columns]
         assert {tuple(r) for r in got.select(shared).collect()} == {tuple(r) for r in want.select(shared).collect()}, stream
+
+
+def test_titles_of_unicode_space_and_dates_with_a_line_break_fail(spark):
+    rules = {r.rule_id: r.ok for r in [*quality.item_rules("1998-04-15", (), ()), *quality.signal_rules()]}
+    titles = spark.createDataFrame([("\u3000",), ("\xa0 \t",), (" a\u3000",)], "title string")
+    assert [r[0] for r in titles.select(rules["Q2"]).collect()] == [False, False, True]
+    dates = spark.createDataFrame([("2020-01-01\n",), ("2020-01-01",), ("x2020-01-01",)], "date string")
+    assert [r[0] for r in dates.select(rules["Q13"]).collect()] == [False, True, False]

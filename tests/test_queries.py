@@ -38,7 +38,7 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_every_query_is_registered():
     names = set(__spark_entry__.queries())
     assert names >= set(QUERIES) and set(__spark_entry__.oracle_sql()) <= names
-    assert set(QUERIES) - set(ORACLE_SQL) == {"state_encode"}  # the layout of its JSON differs between engines
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 def test_entry(spark):
