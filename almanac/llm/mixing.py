@@ -14,11 +14,12 @@ the rest of a pass takes those whose seeded hash is at most the pattern's
 threshold, large documents before the others, and small ones
 with hashes beyond it fill what is left.  A
 threshold comes from a histogram of hashes and from an exact running sum inside
-one of its cells, so no task sees a whole source.
+one of its cells, so no task sees a whole source.  Hashes are of doc_id and text, so rows
+with one doc_id, or none, are decided one by one.
 
 Defined results: a null or empty text has size 0 and takes 0; a null source is a
-source of its own, last in order; an empty list of sources takes 0; equal rows
-have equal hashes and are taken together; an empty table gives an empty result.
+source of its own, last in order; an empty list of sources takes 0; rows alike in
+doc_id and text have equal hashes and are taken together; an empty table gives an empty result.
 Columns of the input with the names of the result's are replaced.
 """
 
@@ -36,8 +37,9 @@ from pyspark.sql.window import Window
 
 from almanac.llm.shared import n_words, written
 
-#: Most membership patterns that the driver solves; a bound on what it collects and broadcasts.
-MAX_PATTERNS = 100_000
+#: Most membership patterns that the driver solves (some minutes; time grows with the square);
+#: a bound on what it collects and broadcasts.
+MAX_PATTERNS = 4000
 #: A document with over one part in LARGE of a partial pass is decided before the others.
 LARGE = 16
 
@@ -137,8 +139,8 @@ def _pattern(members: Column) -> Column:
     return F.to_json(F.when(F.exists(members, lambda s: s.isNull()), F.concat(some, F.array(F.lit(None).cast("string")))).otherwise(some))
 
 
-def _key(doc_id: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))
+def _key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
 
 
 def plan_mix(docs: DataFrame, members: Column | None = None, *, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 1) -> Mix:
@@ -149,7 +151,7 @@ def plan_mix(docs: DataFrame, members: Column | None = None, *, weights: Sequenc
     """
     spark = docs.sparkSession
     members = F.array("source") if members is None else members
-    sizes = written(docs.select("doc_id", _pattern(members).alias("_pattern"), n_words(F.col("text")).alias("size"), _key(F.col("doc_id"), seed).alias("_key")).where("_pattern IS NOT NULL"), "sizes")
+    sizes = written(docs.select("doc_id", _pattern(members).alias("_pattern"), n_words(F.col("text")).alias("size"), _key(seed).alias("_key")).where("_pattern IS NOT NULL"), "sizes")
     totals = sizes.groupBy("_pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(totals) > MAX_PATTERNS:
         raise ValueError(f"over {MAX_PATTERNS} sets of sources")
@@ -207,6 +209,6 @@ def mix_sources(docs: DataFrame, members: Column | None = None, *, seed: int = 1
     """The documents of the mix, one row for each time a document is taken, with docs' columns."""
     mix = plan_mix(docs, members, seed=seed, **options)
     members = F.array("source") if members is None else members
-    row = F.struct(*docs.columns).alias("_row")
-    rows = docs.select(row, _pattern(members).alias("_pattern"), n_words(F.col("text")).alias("size"), _key(F.col("doc_id"), seed).alias("_key")).join(F.broadcast(mix.plan), "_pattern")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    rows = docs.select(row, _pattern(members).alias("_pattern"), n_words(F.col("text")).alias("size"), _key(seed).alias("_key")).join(F.broadcast(mix.plan), "_pattern")
     return rows.where("size > 0").select("_row", F.explode(F.array_repeat(F.lit(1), _times().cast("int")))).select("_row.*")
