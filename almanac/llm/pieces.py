@@ -140,10 +140,9 @@ class Codec:
 
         self.model = read_model(path)
         normal = [piece for piece, _, kind in self.model.pieces if kind in (NORMAL, USER, UNUSED)]
-        if self.model.charsmap or self.model.trim_spaces or not (self.model.dummy_prefix and self.model.escape_spaces) or any(_MARK in p.lstrip(_MARK) for p in normal):
-            raise ValueError("texts of this model can't be cut at spaces")
+        self.whole = bool(self.model.kind != BPE or self.model.charsmap or self.model.trim_spaces or not (self.model.dummy_prefix and self.model.escape_spaces) or any(_MARK in p.lstrip(_MARK) for p in normal))
         self.alone = not any("\n" in p for p in normal)
-        self.library, self.other = build(self.model, prefix=False), sentencepiece.SentencePieceProcessor(model_file=path)
+        self.library, self.other = build(self.model, prefix=self.whole), sentencepiece.SentencePieceProcessor(model_file=path)
         self.memo = Memo(self._encode)
         shown = [bytes([int(p[3:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(_MARK, " ").encode() for p, _, kind in self.model.pieces]
         self.size = np.array([len(b) for b in shown], np.int64)
@@ -157,7 +156,7 @@ class Codec:
         there = self.other.encode([c[1:] if c[0] in (" ", _MARK) and len(c) > 1 else "\n" + c for c in chunks], num_threads=1)
         there = [t if c[0] in (" ", _MARK) and len(c) > 1 else t[2:] for c, t in zip(chunks, there)]
         self.bad.update(c.encode() for c, a, b in zip(chunks, ids, there) if a != b)
-        return there
+        return ids
 
     def chunks(self, data: np.ndarray, offsets: np.ndarray) -> Words:
         """Texts, each behind the dummy prefix, cut where no piece reaches across."""
@@ -186,7 +185,13 @@ class Codec:
         return Words(out, start, np.append(start[1:], n) if len(start) else start, np.searchsorted(start, new), new)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, the bounds of each, and whether both libraries agree on it."""
+        """Ids of all texts in a row, the bounds of each, and whether the other library gives the same."""
+        if self.whole:
+            os.environ["TOKENIZERS_PARALLELISM"] = "true"
+            given = [t or "" for t in texts.to_pylist()]
+            found = [e.ids for e in self.library.encode_batch_fast(given, add_special_tokens=False)]
+            parity = np.array([a == b for a, b in zip(found, self.other.encode(given, num_threads=1))], bool)
+            return np.array([i for x in found for i in x], np.int64), np.cumsum([0, *map(len, found)]), parity
         cut = self.chunks(*buffers(texts))
         codes, first = distinct(cut.hashes())
         raw = cut.data.tobytes()
@@ -198,6 +203,9 @@ class Codec:
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all texts in a row, and the offsets of each; the dummy prefix is dropped."""
+        if self.whole:
+            shown = [t.encode() for t in self.library.decode_batch([ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])], skip_special_tokens=False)]
+            return np.frombuffer(b"".join(shown), np.uint8), np.cumsum([0, *map(len, shown)])
         sizes = self.size[ids]
         upto = np.concatenate(([0], np.cumsum(sizes)))
         at = np.repeat(self.start[ids] - upto[:-1], sizes)
