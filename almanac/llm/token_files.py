@@ -2,7 +2,7 @@
 
 Ids are serialised as little-endian integers of two bytes, or four if the
 vocabulary needs it.  The dictionary is trained on the serialised ids of a
-sample (TRAIN_DOCS documents with the smallest hashes among those of at most
+sample (up to TRAIN_DOCS documents with the smallest hashes among those of at most
 TRAIN_CHARS characters, which are the ones a dictionary helps); every document
 is then encoded and compressed alone.  Documents are put in order by ranges of
 doc_id, nulls last, and each range writes blocks:
@@ -70,6 +70,13 @@ def word_memo(tokenizer: str) -> Memo:
     return _memos[tokenizer]
 
 
+def vocabulary(tokenizer: str) -> int:
+    """Ids of a tokenizers file, added ones too."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True)
+
+
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary for such samples; their own bytes where they are too few to train on, maybe none."""
     import zstandard
@@ -114,13 +121,16 @@ class Block:
         return np.frombuffer(raw, f"<u{self.width}")
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 1, width: int = 2) -> None:
-    """Write the ids of docs (doc_id, text), each followed by end_id, to `path`."""
+def write_token_files(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 1, width: int | None = None) -> None:
+    """Write the ids of docs (doc_id, text), each followed by end_id, to `path`; in `width` bytes, by default what they need."""
     spark = docs.sparkSession
+    width = width or (2 if max(vocabulary(tokenizer) - 1, end_id) < 1 << 16 else 4)
     dtype = f"<u{width}"
 
     def serialised(texts: pa.Array) -> list[bytes]:
         ids, bounds = word_memo(tokenizer).ids(lower_runs(words(texts)))
+        if len(ids) and int(ids.max()) >= 1 << 8 * width:
+            raise OverflowError(f"id {ids.max()} has more than {width} bytes")
         raw, end = ids.astype(dtype).tobytes(), np.array([end_id], dtype).tobytes()
         edges = (bounds * width).tolist()
         return [raw[a:b] + end for a, b in zip(edges, edges[1:])]
@@ -129,7 +139,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, *, end_id: int
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(serialised(batch.column(0)), pa.binary())], ["ids"])
 
-    short = docs.where(F.length("text") <= TRAIN_CHARS).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "text").limit(TRAIN_DOCS)
+    short = docs.where(F.length("text") <= TRAIN_CHARS).select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("_key"), "text")
+    # Hashes are even over their range: those of the sample are below a limit, so few rows meet to be sorted.
+    limit = -(1 << 63) + min((1 << 64) - 1, int((1 << 64) * 1.2 * TRAIN_DOCS / max(short.count(), 1)))
+    short = short.where(F.col("_key") <= limit).orderBy("_key").limit(TRAIN_DOCS)
     dictionary = train_dictionary([r[0] for r in short.select("text").mapInArrow(encode_only, "ids binary").collect()])
     held = spark.sparkContext.broadcast(dictionary)
 
@@ -174,11 +187,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): every document of the files with its ids as 32-bit binary."""
     blocks = spark.read.parquet(f"{path}/blocks")
     held = spark.sparkContext.broadcast(bytes(spark.read.parquet(f"{path}/dictionary").first()["data"]))
-    # One row a shard: its first document and its ids.  Shards are ranges, as many as the writer had partitions.
+    # One row a shard with its ids.  Shards are ranges in order, as many as the writer had partitions.
     last = F.col("before") + F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-    shards = blocks.groupBy("shard").agg(F.max(last).alias("n"), F.min_by(F.element_at("doc_ids", 1), "block").alias("first")).collect()
+    shards = blocks.groupBy("shard").agg(F.max(last).alias("n")).collect()
     starts, total = [], 0
-    for r in sorted(shards, key=lambda r: (r["first"] is None, r["first"] if r["first"] is not None else 0)):
+    for r in sorted(shards, key=lambda r: r["shard"]):
         starts.append((r["shard"], total))
         total += r["n"]
     begin = F.broadcast(spark.createDataFrame(starts, "shard int, begin long"))
