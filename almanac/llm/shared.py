@@ -22,9 +22,11 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; a temporary folder of one's own only where it is unset."""
+    """The cluster's `spark.checkpoint.dir`; where it is unset, a temporary folder of a local session."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         folder = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="almanac-")
     return folder.rstrip("/")
@@ -56,14 +58,12 @@ def release(spark: SparkSession) -> None:
 def as_slices(x: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
     """Rows (slice, at, by) for add_up(): n slices of a vector, without those that are 0; of sparse ones only places and values."""
     width = -(-len(x) // n)
-    rows: list[tuple] = []
     for i in range(n):
         part = x[i * width : (i + 1) * width].astype("<f8")
         at = np.flatnonzero(part).astype("<i4")
         if len(at):
-            rows.append((i, None, part.tobytes()) if 3 * len(at) > 2 * len(part) else (i, at.tobytes(), part[at].tobytes()))
-    part, at, by = zip(*rows) if rows else ((), (), ())
-    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(at, pa.binary()), pa.array(by, pa.binary())], ["slice", "at", "by"])
+            row = (i, None, part.tobytes()) if 3 * len(at) > 2 * len(part) else (i, at.tobytes(), part[at].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.binary(), pa.binary()))], ["slice", "at", "by"])
 
 
 def add_up(parts: DataFrame, length: int, n: int) -> np.ndarray:

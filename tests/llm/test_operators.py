@@ -411,6 +411,34 @@ def test_pieces_are_the_other_librarys_and_come_back(spark, table):
     assert [e.ids for e in full.encode_batch([t or "" for t in texts])] == want
 
 
+def piece_model(pieces, trim):
+    """A unigram model file, written field by field."""
+    number = lambda x: bytes([x]) if x < 128 else bytes([x & 127 | 128]) + number(x >> 7)
+    part = lambda n, x: number(n << 3 | 2) + number(len(x)) + x
+    flag = lambda n, x: number(n << 3) + number(x)
+    rows = [part(1, part(1, p.encode()) + number(2 << 3 | 5) + np.float32(s).tobytes() + flag(3, kind)) for p, s, kind in pieces]
+    return b"".join(rows) + part(2, flag(3, 1) + flag(40, 0)) + part(3, part(1, b"identity") + flag(3, 1) + flag(4, int(trim)) + flag(5, 1))
+
+
+@pytest.mark.parametrize("trim", [False, True])
+def test_unigram_models_encode_whole_texts(tmp_path, trim):
+    import sentencepiece
+
+    rng = random.Random(3)
+    made = {"".join(rng.choice("ab▁") for _ in range(rng.randrange(2, 5))) for _ in range(12)}
+    pieces_ = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((c, -6.0 - i / 7, 1) for i, c in enumerate("▁abcd")), *((p, -3.0 - i / 11, 1) for i, p in enumerate(sorted(made)))]
+    file = tmp_path / "unigram.model"
+    file.write_bytes(piece_model(pieces_, trim))
+    texts = ["".join(rng.choice("aabb cd ") for _ in range(rng.randrange(0, 30))) for _ in range(60)] + ["", None, "  a  b "]
+    codec = pieces.Codec(str(file))
+    ids, bounds, parity = codec.encode(pa.array(texts, pa.string()))
+    want = sentencepiece.SentencePieceProcessor(model_file=str(file)).encode([t or "" for t in texts])
+    assert codec.whole and parity.all() and [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    data, edges = codec.decode(ids, bounds)
+    back = [data[a:b].tobytes().decode() for a, b in zip(edges, edges[1:])]
+    assert back == [" ".join((t or "").split()) if trim else t or "" for t in texts]
+
+
 # 7 Quality
 
 
@@ -535,3 +563,26 @@ def test_search_links_classes(spark):
     got = {r["id"]: r for r in media.search(media.fingerprints(rows, "text", media.melodies), F.col("id") % 100 == 0).collect()}
     assert got[100]["class_id"] == got[1]["class_id"] == 1
     assert (got[2]["n_links"], got[2]["best_query"], got[2]["best_offset"]) == (1, 1, 0) and got[3]["n_links"] == 0
+
+
+def test_files_keep_order_for_one_id_over_many_shards_and_wide_ids(spark, tmp_path):
+    rows = [(5, f"a{i} b{i}") for i in range(600)] + [(i, f"c{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        token_files.write_token_files(docs, path("word_bpe_49k.json"), str(tmp_path / "ids"), end_id=70_000)
+        found = token_files.read_token_files(spark, str(tmp_path / "ids")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    found.sort(key=lambda r: r["start"])
+    assert [r["doc_id"] for r in found] == sorted(r[0] for r in rows)
+    assert [r["start"] for r in found] == [0, *itertools.accumulate(r["n_tokens"] for r in found)][:-1]
+    assert all(np.frombuffer(r["ids"], "<u4")[-1] == 70_000 for r in found)
+
+
+def test_mix_comes_near_its_targets_without_ids(spark):
+    rows = [(None if i % 5 else 7, f"w{i} " * 10, "abc"[i % 3]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("x.y", F.lit(1))
+    found = mixing.taken_words(mixing.plan_mix(docs)).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 0.02 * r["target"] for r in found)
+    assert "x.y" in mixing.mix_sources(docs).columns
