@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.graph import components
-from almanac.llm.shared import add_up, as_slices, written
+from almanac.llm.shared import add_up, as_slices, release, written
 from almanac.llm.text import Words, mix, rolling, slices, words
 
 #: Most nodes in a group that one task searches, and their shingles; about, as groups are dealt by hash.
@@ -374,6 +374,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     sent = written(texts.select("text").mapInArrow(_prefixes(k, percent, rank), "sig long, node long, n long, p long"), "prefixes")
     members, known = _short_lists(sent, percent)
+    release(spark)
     owner = nodes.join(known.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "_row")).alias("o")).select("node", F.col("o.doc_id").alias("_id"), F.col("o._row").alias("_row"))
     wanted = texts.join(owner, (texts["_row"] == owner["_row"]) & texts["doc_id"].eqNullSafe(owner["_id"])).select("node", "text")
     sets = written(wanted.mapInArrow(_sets(k), "node long, n long, shingles binary"), "sets")
@@ -383,6 +384,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # Hubs: first the one that each node shares most with, then those of other components.
     pairs, members = _hub_pairs(members, known, percent)
     pairs = written(pairs, "pairs")
+    release(spark)
     best = pairs.groupBy("node").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
     links = _from_hubs(best.select("hub", "node"), sets, percent)
     first = components(links)
@@ -398,6 +400,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     left = _useful(written(named, "named"), "component")
     ends = left.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("of"), F.count("*").alias("m"))
     one = ends.where("low < high").groupBy("of", "m").agg(F.min("sig").alias("sig"))
+    release(spark)
     lists = written(left.join(one, "sig").select(F.col("sig").alias("list"), "node", "component"), "lists")
     if not lists.isEmpty():
         first = components(links.union(_from_lists(lists, sets, percent)))

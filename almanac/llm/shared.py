@@ -94,7 +94,7 @@ def n_words(text: Column) -> Column:
 
 
 def per_slice(docs: DataFrame, added: str, measure: Callable[[pa.Array], dict], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of docs, and those that `measure` makes of about 2 MB of texts at a time.
+    """The kept columns of docs, and those that `measure` makes of about 1 MB of texts at a time.
 
     `added` is the DDL of the new columns; `measure` returns an array for each.
     """

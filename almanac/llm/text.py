@@ -91,7 +91,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges with about `most` bytes of text each; a longer document stands alone."""
     _, offsets = buffers(column)
     at, n = 0, len(offsets) - 1
