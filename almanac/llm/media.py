@@ -8,24 +8,26 @@ differing bits over the overlap at the best offset.
 
 The search takes a stated set of queries against all recordings: queries go out
 in blocks of bounded size, and every task aligns its own recordings with a block.
+One block at a time is held and its links are written before the next one goes out,
+so neither the driver nor a plan grows with the number of queries.
 Recordings with equal fingerprints form one class, which is searched once.
 
 Defined results: a null or empty recording has no frames, matches nothing and is
-in one class with its like.  Ties between queries go to the smaller id.
+in one class with its like.  Ties between queries go to the smaller id.  Turns
+without conv_id belong to no conversation and make no recording.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.shared import written
+from almanac.llm.shared import new_path, written
 from almanac.llm.text import words
 
 RATE = 2000
@@ -35,12 +37,15 @@ WINDOW = 12
 #: Steps of a filter's value between its four codes, and the codes: neighbours differ in one bit.
 STEPS = np.array([-0.3, 0.0, 0.3])
 CODES = np.array([0, 1, 3, 2], np.uint32)
-#: A match: at most this rate of differing bits over at least half of the shorter recording and MIN_OVERLAP frames.
+#: A match: at most this rate of differing bits over at least half of the shorter recording and MIN_OVERLAP frames,
+#: at an offset with MIN_VOTES equal integers, or fewer where a recording hardly ever changes.
 MAX_ERROR = 0.15
 MIN_OVERLAP = 8
 MIN_VOTES = 3
 #: Bytes of fingerprints in one block of queries.
 BLOCK_BYTES = 8 << 20
+#: Votes that are counted at once; a recording with more, such as one with long silence, takes several rounds.
+VOTES = 1 << 20
 
 #: (kind, first pitch class, pitch classes, frames) of the filters; sizes divide by two and three.
 FILTERS = [(i % 6, 0 if i % 3 == 0 else 5 * i % 7, 12 if i % 3 == 0 else 6, 12 if i % 2 == 0 else 6) for i in range(16)]
@@ -166,9 +171,24 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return int(np.bitwise_count(a[start:end] ^ b[start - offset : end - offset]).sum()), end - start
 
 
+def _votes(own_place: np.ndarray, low: np.ndarray, n: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of (query, offset) and their votes: frame i of a recording meets the n[i] query frames from low[i]."""
+    ends = np.cumsum(n)
+    keys, votes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for start in range(0, int(ends[-1]), VOTES):
+        vote = np.arange(start, min(start + VOTES, int(ends[-1])))
+        i = np.searchsorted(ends, vote, "right")
+        at = vote - (ends[i] - n[i]) + low[i]
+        more, counts = np.unique(owner[at] * (1 << 32) + (own_place[i] - place[at]) + (1 << 31), return_counts=True)
+        keys, back = np.unique(np.concatenate((keys, more)), return_inverse=True)
+        votes = np.bincount(back, np.concatenate((votes, counts)), len(keys)).astype(np.int64)
+    return keys, votes
+
+
 def align(queries: list[np.ndarray], prints: list[np.ndarray]) -> list[tuple[int, int, int, float]]:
     """(recording, query, offset of the query in it, rate of differing bits) of all matches."""
     values, owner, place = _turns(queries)
+    turns = np.bincount(owner, minlength=len(queries))
     order = np.argsort(values, kind="stable")
     values, owner, place = values[order], owner[order], place[order]
     own_values, own, own_place = _turns(prints)
@@ -179,10 +199,9 @@ def align(queries: list[np.ndarray], prints: list[np.ndarray]) -> list[tuple[int
         n = high - low
         if not n.sum():
             continue
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        offset = np.repeat(own_place[a:b], n) - place[at]
-        keys, votes = np.unique(owner[at] * (1 << 32) + offset + (1 << 31), return_counts=True)
-        keys, votes = keys[votes >= MIN_VOTES], votes[votes >= MIN_VOTES]
+        keys, votes = _votes(own_place[a:b], low, n, owner, place)
+        enough = votes >= np.minimum(MIN_VOTES, np.minimum(b - a, turns[keys >> 32]))
+        keys, votes = keys[enough], votes[enough]
         rank = np.lexsort((keys, -votes, keys >> 32))
         first = np.ones(len(rank), bool)
         first[1:] = (keys[rank[1:]] >> 32) != (keys[rank[:-1]] >> 32)
@@ -207,8 +226,9 @@ def search(prints: DataFrame, is_query) -> DataFrame:
     asks = first.where("asks AND length(frames) > 0")
     blocks = max(1, -(-(asks.agg(F.sum(F.length("frames"))).first()[0] or 0) // BLOCK_BYTES))
     kind = prints.schema["id"].dataType.simpleString()
+    links, path = f"class_id {kind}, query {kind}, offset long, error double", new_path(spark, "links")
 
-    def against(block: list) -> DataFrame:
+    def against(block: list) -> None:
         held = spark.sparkContext.broadcast(([r["class_id"] for r in block], [bytes(r["frames"]) for r in block]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,9 +239,12 @@ def search(prints: DataFrame, is_query) -> DataFrame:
                 columns = list(zip(*found)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], batch.column(0).type), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.float64())], ["class_id", "query", "offset", "error"])
 
-        return first.select("class_id", "frames").mapInArrow(run, f"class_id {kind}, query {kind}, offset long, error double")
+        first.select("class_id", "frames").mapInArrow(run, links).write.mode("append").parquet(path)
+        held.destroy()
 
-    found = reduce(DataFrame.union, (against(asks.where(F.pmod(F.xxhash64("class_id"), F.lit(blocks)) == i).select("class_id", "frames").collect()) for i in range(blocks)))
+    for i in range(blocks):
+        against(asks.where(F.pmod(F.xxhash64("class_id"), F.lit(blocks)) == i).select("class_id", "frames").collect())
+    found = spark.read.schema(links).parquet(path)
     best = found.groupBy("class_id").agg(F.count("*").alias("n_links"), F.min(F.struct("error", "query", "offset")).alias("best"))
     rows = keyed.join(classes.select("key", "class_id"), "key").join(best, "class_id", "left")
     return rows.select("id", (F.length("frames") / 4).cast("long").alias("n_frames"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("best.query").alias("best_query"), F.col("best.offset").alias("best_offset"), F.col("best.error").alias("bit_error_rate"))
