@@ -77,11 +77,11 @@ def wish_flags(catalog: DataFrame, wishlist: DataFrame, user_id: int) -> DataFra
 
 def shelf_stats(catalog: DataFrame, wishlist: DataFrame, shelf: DataFrame, ratings: DataFrame) -> DataFrame:
     """Per user: wishlist and ratings count all ids, playing and finished only items of the catalog."""
-    tagged = [wishlist.select(*KEY, F.lit("wish").alias("tag")), ratings.select(*KEY, F.lit("rating").alias("tag")), shelf.select(*KEY, F.col("shelf_status").alias("tag")).join(catalog.select("item_id"), "item_id", "left_semi").select(*KEY, "tag")]
-    rows = tagged[0].union(tagged[1]).union(tagged[2])
-    users = wishlist.select("user_id").union(shelf.select("user_id")).union(ratings.select("user_id")).select("user_id", F.lit(None).cast("bigint").alias("item_id"), F.lit("").alias("tag"))
+    known = catalog.select("item_id", F.lit(True).alias("_known"))
+    marks = shelf.join(known, "item_id", "left").select("user_id", F.when(F.col("_known"), F.col("shelf_status")).alias("tag"))
+    rows = wishlist.select("user_id", F.lit("wish").alias("tag")).union(ratings.select("user_id", F.lit("rating").alias("tag"))).union(marks)
     count = lambda tag: F.count_if(F.col("tag") == tag)
-    return rows.union(users).groupBy("user_id").agg(count("wish").alias("wishlist_size"), count("playing").alias("playing"), count("finished").alias("finished"), count("rating").alias("rated"))
+    return rows.groupBy("user_id").agg(count("wish").alias("wishlist_size"), count("playing").alias("playing"), count("finished").alias("finished"), count("rating").alias("rated"))
 
 
 def orphans(catalog: DataFrame, wishlist: DataFrame, shelf: DataFrame, ratings: DataFrame, notes: DataFrame) -> DataFrame:

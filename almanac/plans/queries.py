@@ -336,9 +336,7 @@ def derive_status(spark, sf_dir):
 
 def _quality(spark, sf_dir):
     items = tables.catalog(spark, sf_dir, sources=True)
-    feed = _feed(spark, sf_dir)
-    pages = table(spark, sf_dir, "pages")
-    signals = feed.join(pages.select("page_id", "url"), F.col("seq") % F.lit(max(pages.count(), 1)) == F.col("page_id"), "left")
+    signals = tables.with_page(_feed(spark, sf_dir), table(spark, sf_dir, "pages"), F.col("seq"))
     signals = signals.select("seq", F.when(F.col("seq") % 11 == 0, F.date_format("published_on", "yyyy.MM.dd")).otherwise(F.col("published_on").cast("string")).alias("date"), F.col("url").alias("source_url"), F.concat_ws(" ", "kind", F.col("item_id").cast("string")).alias("detail"), "kind")
     return items, signals, quality.item_rules(tables.SNAPSHOT, tuple(PLATFORM_LABELS), REGIONS), quality.signal_rules()
 

@@ -32,6 +32,12 @@ def status_of(date: Column, snapshot: str = SNAPSHOT) -> Column:
     return F.when(date.isNull(), "development").when(date <= F.lit(snapshot).cast("date"), "released").otherwise("upcoming")
 
 
+def with_page(rows: DataFrame, pages: DataFrame, key: Column) -> DataFrame:
+    """rows with the url of one page each, dealt in turn along the key; the number of pages is part of the plan, not an action."""
+    n = pages.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
+    return rows.withColumn("_page", key % n).join(pages.select("page_id", "url"), F.col("_page") == F.col("page_id"), "left").drop("_page", "page_id")
+
+
 def catalog(spark: SparkSession, sf_dir: str, *, details: bool = True, sources: bool = False, snapshot: str = SNAPSHOT) -> DataFrame:
     """One row an order.  Without details, the columns that need order lines are left out, and the scan of these too.
 
@@ -49,8 +55,7 @@ def catalog(spark: SparkSession, sf_dir: str, *, details: bool = True, sources:
         "score_mode": F.when(status_of(date, snapshot) == "released", "initial").otherwise("expected"), "summary": F.concat_ws(" ", "c_mktsegment", "o_orderpriority"), "fit": F.col("c_mktsegment"), "caution": F.col("o_orderpriority"),
     }
     if sources:
-        pages = table(spark, sf_dir, "pages")
-        items = items.join(pages.select("page_id", "url"), key % F.lit(max(pages.count(), 1)) == F.col("page_id"), "left")
+        items = with_page(items, table(spark, sf_dir, "pages"), key)
         declared = F.when((key % 97 == 0) | ((F.col("o_orderstatus") == "P") & (key % 10 != 0)), F.lit(None)).otherwise(day)
         columns |= {
             "source_label": F.col("r_name"), "source_url": F.col("url"), "checked_at": F.date_sub(F.lit(snapshot).cast("date"), (key % 2).cast("int")), "evidence": F.concat_ws(" ", "o_orderpriority", "c_mktsegment"),
