@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import jaccard, language_model, media, mixing, pieces, quality, repeats, repetition, token_counts, token_files
+from almanac.llm import centroids, jaccard, language_model, manifest, media, mixing, pieces, quality, repeats, repetition, token_counts, token_files, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,22 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.search(prints, F.col("id") % 100 == 0).withColumnRenamed("id", "conv_id")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return manifest.proofs(manifest.build(docs, tampering=manifest.lower_text(docs)))
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.url_verdicts(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_language_model": op2_language_model,
@@ -74,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_token_files": op9_token_files,
     "op10_media": op10_media,
+    "op11_centroids": op11_centroids,
+    "op12_manifest": op12_manifest,
+    "op13_url_filters": op13_url_filters,
 }
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
