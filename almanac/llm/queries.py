@@ -95,6 +95,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_url_filters": op13_url_filters,
 }
 
+#: H of columns as DuckDB has it: digests are hex text.
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_TAMPERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC32 = """xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda c, b: list_reduce([xor(c, b)] || range(8), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
+
+
+def _round(n: int) -> str:
+    """Assignment n to the centroids c<n>, and the centroids after it."""
+    return f"""
+p{n} AS (SELECT id, k, CAST(sum((x - c) * (x - c)) AS BIGINT) AS distance FROM x JOIN c{n} USING (i) GROUP BY id, k),
+a{n} AS MATERIALIZED (SELECT id, arg_min(k, distance * 64 + k) AS k, min(distance) AS distance FROM p{n} GROUP BY id),
+m{n} AS (SELECT k, i, sum(x) AS s, count(*) AS n FROM x JOIN a{n} USING (id) GROUP BY k, i),
+c{n + 1} AS MATERIALIZED (SELECT k, i, coalesce(CAST((s - ((s % n) + n) % n) // n AS BIGINT), c) AS c FROM c{n} LEFT JOIN m{n} USING (k, i))"""
+
+
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -118,4 +134,26 @@ x AS (SELECT doc_id, list(DISTINCT j) AS x FROM (SELECT doc_id, unnest(generate_
 k AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(x), 0) AS n_removed, coalesce(w, []) AS w, coalesce(x, []) AS x FROM d LEFT JOIN x USING (doc_id)),
 o AS (SELECT doc_id, string_agg(v, ' ' ORDER BY j) AS kept FROM (SELECT doc_id, unnest(w) AS v, unnest(generate_series(1, len(w))) AS j, x FROM k) WHERE NOT list_contains(x, j) GROUP BY doc_id)
 SELECT k.doc_id, n_words, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k LEFT JOIN o USING (doc_id)""",
+    "op11_centroids": f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), embedding) AS id, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+x AS MATERIALIZED (SELECT id, i, CAST(floor(256 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x FROM (SELECT id, embedding, unnest(range(1, 65)) AS i FROM v)),
+c0 AS MATERIALIZED (SELECT id - 1 AS k, i, x AS c FROM x WHERE id <= 40),{",".join(_round(n) for n in range(6))},
+d AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c5 GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a5 JOIN v USING (id) JOIN d USING (k)""",
+    "op12_manifest": f"""
+WITH RECURSIVE leaf AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s
+  FROM (SELECT doc_id, source, {_LEAF.format(text="text")} AS leaf, CASE WHEN {_CRC32} % 5 = 0 THEN {_LEAF.format(text=_TAMPERED)} ELSE {_LEAF.format(text="text")} END AS start FROM documents)),
+tree AS (SELECT s, 0 AS l, i, n, leaf AS h FROM leaf
+  UNION ALL SELECT s, l + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY s, l, i // 16, n),
+top AS (SELECT 0 AS l, s AS i, (SELECT count(DISTINCT s) FROM leaf) AS n, h FROM tree WHERE n = 1
+  UNION ALL SELECT l + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY l, i // 16, n),
+depth AS (SELECT s, max(l) AS d, arg_max(h, l) AS subroot FROM tree GROUP BY s),
+node AS MATERIALIZED (SELECT s, l, i, h, n FROM tree WHERE n > 1 UNION ALL SELECT z.s, d + l, i, h, top.n FROM top JOIN (SELECT s, d FROM depth) z ON true WHERE top.n > 1),
+run AS MATERIALIZED (SELECT s, l, i // 16 AS r, list(h ORDER BY i) AS hs FROM node GROUP BY s, l, i // 16),
+climb AS (SELECT doc_id, leaf, leaf.s, i, 0 AS l, d, start AS h, '' AS proof, subroot FROM leaf JOIN depth ON depth.s = leaf.s
+  UNION ALL SELECT doc_id, leaf, c.s, p // 16, c.l + 1, d, sha256(array_to_string(hs[1:p % 16] || [h] || hs[p % 16 + 2:], '')), proof || array_to_string(hs[1:p % 16] || hs[p % 16 + 2:], ''), subroot
+  FROM (SELECT *, CASE WHEN l = d THEN s ELSE i END AS p FROM climb) c JOIN run ON run.s = c.s AND run.l = c.l AND run.r = c.p // 16)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM (SELECT *, (SELECT arg_max(h, l) FROM top) AS root FROM climb) WHERE l = d + (SELECT max(l) FROM top)""",
 }
