@@ -173,6 +173,7 @@ FROM (SELECT *, date_diff('day', old_date, new_date) AS days_moved FROM (SELECT
         + f" UNION ALL SELECT 'Q1', 'item', CAST(o_orderkey AS VARCHAR), CAST(n AS VARCHAR) FROM {_IDS} WHERE n > 1 UNION ALL SELECT 'Q12', 'signal', '*', CAST(n AS VARCHAR) FROM (SELECT count(*) AS n FROM signal) WHERE n < 4"),
     "dq_summary": _with(_QUALITY, " UNION ALL ".join(f"SELECT '{r}' AS rule_id, count(*) FILTER (WHERE {applies}) AS checked, count(*) FILTER (WHERE {applies} AND NOT coalesce({ok}, false)) AS failed FROM {t}" for r, t, applies, ok, _ in _RULES)
         + f" UNION ALL SELECT 'Q1', count(*), count(*) FILTER (WHERE n > 1) FROM {_IDS} UNION ALL SELECT 'Q12', 1, CASE WHEN count(*) < 4 THEN 1 ELSE 0 END FROM signal"),
+    "stream_documents": _on_state(_DOCUMENTS),
     "stream_wishlist": _on_state("SELECT user_id, item_id FROM wishlist"),
     "stream_shelf": _on_state("SELECT * FROM shelf"),
     "stream_release_date": _on_feed("SELECT item_id, CAST(new_date AS VARCHAR) AS new_date, kind, seq FROM current"),

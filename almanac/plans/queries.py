@@ -14,8 +14,8 @@ from almanac.functions import columns as C
 from almanac.operators import calendar, history, predicates, quality, ranking, shelf
 from almanac.sources import tables
 from almanac.sources.schemas import DIMENSIONS, PLATFORM_LABELS, SCORE_MODE_LABELS, STATUS_LABELS
-from almanac.sources.storage import table
-from almanac.streaming import folds
+from almanac.sources.storage import table, written
+from almanac.streaming import documents, folds
 
 # What a caller asks for.
 USER, ITEM, MISSING_ITEM = 7, 3, -1
@@ -372,3 +372,9 @@ def stream_shelf(spark, sf_dir):
 @query
 def stream_release_date(spark, sf_dir):
     return folds.stream_release_date(spark, sf_dir).select("item_id", _text("new_date"), "kind", "seq")
+
+
+@query
+def stream_documents(spark, sf_dir):
+    scores = written(tables.catalog(spark, sf_dir).select("item_id", *DIMENSIONS), "scores")
+    return documents.stream_documents(spark, folds.raw_events(spark, f"{sf_dir}/events.parquet"), scores)

@@ -24,3 +24,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
         app = spark.sparkContext.applicationId
         base = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="almanac-")
     return f"{base.rstrip('/')}/almanac-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written as Parquet to a fresh folder and read again."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from almanac.operators import history, shelf
 from almanac.sources.schemas import EVENTS
@@ -22,14 +24,18 @@ BUCKETS = 16
 LATE = "1 day"
 
 
+def raw_events(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
+    """Raw events as they arrive in a folder, or in one file, with repeated ones."""
+    path = f"{path[:-1]}[{path[-1]}]"  # a pattern may name a file, a plain path of a stream must be a folder
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def read_events(spark: SparkSession, path: str, files_per_batch: int = 8, late: str | None = LATE) -> DataFrame:
     """Raw events as they arrive in a folder, or in one file; repeated ones are known, and late ones taken, within `late`.
 
     late=None: all of them, whatever their order, for runs to the end of a table; the ids seen are kept.
     """
-    path = f"{path[:-1]}[{path[-1]}]"  # a pattern may name a file, a plain path of a stream must be a folder
-    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    events = raw_events(spark, path, files_per_batch)
     if late is None:
         return events.dropDuplicates(["event_id"])
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
@@ -43,30 +49,46 @@ def shelf_marks(log: DataFrame) -> DataFrame:
     return log.where(F.col("action").isin("shelf_set", "shelf_clear")).groupBy(*shelf.KEY).agg(F.max_by("shelf_status", "seq").alias("shelf_status"))
 
 
-def merge_into(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A sink that replaces the rows of the batch's keys, bucket by bucket."""
+def merge_into(path: str, keys: list[str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A sink that replaces the rows of the batch's keys, bucket by bucket.
+
+    buckets stays the same for all of a sink's life; a task rewrites a whole bucket, so
+    that it should grow with the number of keys to come.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("bucket")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
         changed = batch.select("*", bucket).persist()
-        touched = [r["bucket"] for r in changed.select("bucket").distinct().collect()]  # BUCKETS at most
-        old = snapshot(spark, path, changed.schema, before=number, buckets=touched)
-        merged = changed if old is None else changed.unionByName(old.join(changed.select(*keys), keys, "left_anti"))
+        touched = [r["bucket"] for r in changed.select("bucket").distinct().collect()]  # `buckets` at most
+        kept = snapshot(spark, path, batch.schema, before=number, buckets=touched)
+        merged = changed if kept is None else changed.unionByName(kept.withColumn("bucket", bucket).join(changed.select(*keys), keys, "left_anti"))
         merged.withColumn("version", F.lit(number)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(path)
         changed.unpersist()
+        drop_old(spark, path, touched, number)
 
     return write
 
 
+def drop_old(spark: SparkSession, path: str, buckets: list[int], number: int) -> None:
+    """Remove versions that neither a reader of the newest one nor a second run of this batch looks at."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for bucket in buckets:
+        found = [f.getPath() for f in files.listStatus(hadoop(f"{path}/bucket={bucket}"))]
+        before = sorted((int(p.getName().split("=")[1]), i) for i, p in enumerate(found) if int(p.getName().split("=")[1]) < number)
+        for _, i in before[:-1]:
+            files.delete(found[i], True)
+
+
 def snapshot(spark: SparkSession, path: str, schema, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
     """The newest version of each bucket, of versions before a batch number; None while nothing is written."""
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import AnalysisException
-
+    stored = StructType([*schema.fields, StructField("bucket", IntegerType()), StructField("version", LongType())])
     try:
-        rows = spark.read.parquet(path)
-    except (AnalysisException, Py4JJavaError):
+        rows = spark.read.schema(stored).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     if before is not None:
         rows = rows.where(F.col("version") < before)
