@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,7 +30,12 @@ def date_history(feed: DataFrame) -> DataFrame:
     by_item = Window.partitionBy("item_id").orderBy("seq")
     rows = official(feed).select("item_id", "seq", "published_on", "kind", "new_date").withColumn("old_date", F.lag("new_date").over(by_item)).withColumn("revision", F.row_number().over(by_item).cast("bigint"))
     days = F.datediff("new_date", "old_date")
-    return rows.withColumn("days_moved", days).withColumn("direction", F.when(F.col("revision") == 1, "first").when(days < 0, "earlier").when(days > 0, "delayed").when(days == 0, "unchanged").otherwise("unknown"))
+    return rows.withColumn("days_moved", days).withColumn("direction", direction(F.col("revision"), days))
+
+
+def direction(revision: Column, days: Column) -> Column:
+    """What a statement does to the date before it."""
+    return F.when(revision == 1, "first").when(days < 0, "earlier").when(days > 0, "delayed").when(days == 0, "unchanged").otherwise("unknown")
 
 
 def derived_status(items: DataFrame, dates: DataFrame, snapshot: str = SNAPSHOT) -> DataFrame:

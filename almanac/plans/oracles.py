@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almanac.plans.queries import ITEM, LEAST_SCORE, MISSING_ITEM, REGIONS, SINCE, UNTIL, USER
+from almanac.plans.queries import FILTERS, ITEM, KNOWN_ON, LEAST_SCORE, MISSING_ITEM, REGIONS, SHORT, SINCE, UNTIL, USER
 from almanac.sources.schemas import DIMENSIONS, OWN_SCORES_LABEL, SCORE_MODE_LABELS, SHELF_LABELS, STATUS_LABELS, WISHLIST_LABEL
 from almanac.sources.tables import SNAPSHOT
 
@@ -113,6 +113,15 @@ FULL JOIN (SELECT user_id, string_agg('"' || item_id || '":"' || shelf_status ||
 FULL JOIN (SELECT user_id, string_agg('"' || item_id || '":{{' || concat_ws(',', {', '.join(f"""'"{d}":' || CAST({d} AS VARCHAR)""" for d in DIMENSIONS)}) || '}}', ',' ORDER BY CAST(item_id AS VARCHAR)) AS part FROM ratings GROUP BY 1) r USING (user_id)
 FULL JOIN (SELECT user_id, string_agg('"' || item_id || '":' || CAST(to_json(note) AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS part FROM notes GROUP BY 1) n USING (user_id)"""
 
+_LOOKUP = _on_catalog(" UNION ALL ".join(f"(SELECT CAST({k} AS BIGINT) AS asked, item_id, title FROM catalog ORDER BY item_id = {k} DESC, ordinal LIMIT 1)" for k in (ITEM, MISSING_ITEM)))
+_CONDITIONS = {"status": f"status = '{FILTERS['status']}'", "region": f"region = '{FILTERS['region']}'", "platform": f"list_contains(platforms, '{FILTERS['platform']}')"}
+#: (facet, its value, the other facets' filters)
+_FACETS = [(f, "unnest(platforms)" if f == "platform" else f, " AND ".join(c for g, c in _CONDITIONS.items() if g != f)) for f in ("status", "region", "platform")]
+
+_HISTORY = _on_feed("""SELECT item_id, revision, seq, kind, CAST(old_date AS VARCHAR) AS old_date, CAST(new_date AS VARCHAR) AS new_date, days_moved,
+CASE WHEN revision = 1 THEN 'first' WHEN days_moved < 0 THEN 'earlier' WHEN days_moved > 0 THEN 'delayed' WHEN days_moved = 0 THEN 'unchanged' ELSE 'unknown' END AS direction
+FROM (SELECT *, date_diff('day', old_date, new_date) AS days_moved FROM (SELECT *, lag(new_date) OVER w AS old_date, row_number() OVER w AS revision FROM official WINDOW w AS (PARTITION BY item_id ORDER BY seq)))""")
+
 ORACLE_SQL: dict[str, str] = {
     "catalog_scan": _on_catalog(f"SELECT item_id, ordinal, title, original_title, developer, publisher, country, region, status, signal, {_DATE}, date_label, array_to_string(platforms, ',') AS platforms, array_to_string(genres, ',') AS genres, {_DOUBLES}, score_mode, featured FROM catalog"),
     "signal_scan": _on_feed("SELECT seq, item_id, CAST(published_on AS VARCHAR) AS published_on, kind, CAST(new_date AS VARCHAR) AS new_date FROM feed"),
@@ -131,11 +140,17 @@ FROM (SELECT * FROM catalog WHERE {_RADAR} ORDER BY featured DESC, release_date
     "search_keyword": _on_catalog(f"SELECT {_BRIEF} FROM catalog WHERE {_FOUND('econ')}"),
     "filter_date_score_range": _on_catalog(f"SELECT {_BRIEF} FROM catalog WHERE release_date BETWEEN DATE '{SINCE}' AND DATE '{UNTIL}' AND mean >= {LEAST_SCORE}"),
     "undated_items": _on_catalog("SELECT item_id, title, status FROM catalog WHERE release_date IS NULL"),
-    "lookup_or_first": _on_catalog(" UNION ALL ".join(f"(SELECT CAST({k} AS BIGINT) AS asked, item_id, title FROM catalog ORDER BY item_id = {k} DESC, ordinal LIMIT 1)" for k in (ITEM, MISSING_ITEM))),
+    "lookup_or_first": _LOOKUP,
     "item_dossier": _on_state(f"""SELECT item_id, title, original_title, developer, country, summary, fit, caution, {_DOUBLES}, {_SUM} AS mean, mode_label, note, {_case('shelf_status', SHELF_LABELS)} AS shelf_label, wished, source_label, source_url, CAST(checked_at AS VARCHAR) AS checked_at, evidence
 FROM (SELECT c.* EXCLUDE ({', '.join(DIMENSIONS)}), {_OWN('c')}, coalesce(note, '') AS note, shelf_status, w.item_id IS NOT NULL AS wished FROM catalog c
   LEFT JOIN (SELECT * FROM ratings WHERE user_id = {USER}) ratings ON ratings.item_id = c.item_id LEFT JOIN (SELECT * FROM notes WHERE user_id = {USER}) n ON n.item_id = c.item_id
   LEFT JOIN (SELECT * FROM shelf WHERE user_id = {USER}) s ON s.item_id = c.item_id LEFT JOIN (SELECT * FROM wishlist WHERE user_id = {USER}) w ON w.item_id = c.item_id WHERE c.item_id = {ITEM})"""),
+    "lookup_stored": _LOOKUP,
+    "search_trigrams": _on_catalog(f"SELECT {_BRIEF} FROM catalog WHERE {_FOUND('econ')}"),
+    "search_short_keyword": _on_catalog(f"SELECT {_BRIEF} FROM catalog WHERE {_FOUND(SHORT.lower())}"),
+    "bitmap_counts": _on_catalog(f"SELECT count(*) FILTER (WHERE {_RADAR}) AS shown, count(*) AS total FROM catalog"),
+    "bitmap_facets": _on_catalog(" UNION ALL ".join(f"SELECT '{facet}' AS facet, {kept} AS filtered, coalesce(v, 'all') AS value, n FROM (SELECT v, count(*) AS n FROM (SELECT {value} AS v FROM catalog WHERE {where}) GROUP BY v UNION ALL SELECT NULL, count(*) FROM catalog WHERE {where})"
+        for facet, value, others in _FACETS for kept, where in (("false", "true"), ("true", others)))),
     "sort_recommend_topk": _top("featured DESC, release_date DESC NULLS LAST"),
     "sort_date_asc_topk": _top("release_date ASC NULLS LAST"),
     "sort_date_desc_topk": _top("release_date DESC NULLS LAST"),
@@ -164,9 +179,7 @@ SELECT user_id, 'wish' AS tag FROM wishlist UNION ALL SELECT user_id, 'rating' F
     "state_explode": _on_state(f"""SELECT * FROM (SELECT user_id, 'wishlist' AS kind, CAST(item_id AS VARCHAR) AS item_id, CAST(NULL AS VARCHAR) AS value FROM wishlist UNION ALL SELECT user_id, 'shelf', CAST(item_id AS VARCHAR), shelf_status FROM shelf
 UNION ALL SELECT user_id, 'rating', CAST(item_id AS VARCHAR), {" || '/' || ".join(f"coalesce(CAST({d} AS VARCHAR), '-')" for d in DIMENSIONS)} FROM ratings UNION ALL SELECT user_id, 'note', CAST(item_id AS VARCHAR), note FROM notes) WHERE user_id % 7 <> 0"""),
     "current_release_date": _on_feed("SELECT item_id, CAST(new_date AS VARCHAR) AS new_date, kind, CAST(published_on AS VARCHAR) AS published_on, seq FROM current"),
-    "release_date_history": _on_feed("""SELECT item_id, revision, seq, kind, CAST(old_date AS VARCHAR) AS old_date, CAST(new_date AS VARCHAR) AS new_date, days_moved,
-CASE WHEN revision = 1 THEN 'first' WHEN days_moved < 0 THEN 'earlier' WHEN days_moved > 0 THEN 'delayed' WHEN days_moved = 0 THEN 'unchanged' ELSE 'unknown' END AS direction
-FROM (SELECT *, date_diff('day', old_date, new_date) AS days_moved FROM (SELECT *, lag(new_date) OVER w AS old_date, row_number() OVER w AS revision FROM official WINDOW w AS (PARTITION BY item_id ORDER BY seq)))"""),
+    "release_date_history": _HISTORY,
     "unverified_claims": _on_feed("SELECT seq, item_id, kind, CAST(published_on AS VARCHAR) AS published_on, CAST(new_date AS VARCHAR) AS new_date FROM feed WHERE kind IN ('event_preview', 'rumour')"),
     "derive_status": _on_feed(f"SELECT o_orderkey AS item_id, CAST(new_date AS VARCHAR) AS official_date, CASE WHEN new_date IS NULL THEN 'development' WHEN new_date <= DATE '{SNAPSHOT}' THEN 'released' ELSE 'upcoming' END AS status FROM orders LEFT JOIN current ON item_id = o_orderkey"),
     "dq_violations": _with(_QUALITY, " UNION ALL ".join(f"SELECT '{r}' AS rule_id, '{t}' AS entity, CAST(key AS VARCHAR) AS key, CAST({shown} AS VARCHAR) AS observed FROM {t} WHERE {applies} AND NOT coalesce({ok}, false)" for r, t, applies, ok, shown in _RULES)
@@ -174,6 +187,10 @@ FROM (SELECT *, date_diff('day', old_date, new_date) AS days_moved FROM (SELECT
     "dq_summary": _with(_QUALITY, " UNION ALL ".join(f"SELECT '{r}' AS rule_id, count(*) FILTER (WHERE {applies}) AS checked, count(*) FILTER (WHERE {applies} AND NOT coalesce({ok}, false)) AS failed FROM {t}" for r, t, applies, ok, _ in _RULES)
         + f" UNION ALL SELECT 'Q1', count(*), count(*) FILTER (WHERE n > 1) FROM {_IDS} UNION ALL SELECT 'Q12', 1, CASE WHEN count(*) < 4 THEN 1 ELSE 0 END FROM signal"),
     "stream_documents": _on_state(_DOCUMENTS),
+    "stream_counts": _on_feed(f"""SELECT kind, value, count(*) AS n FROM (SELECT unnest([{{'kind': 'status', 'value': 'all'}}, {{'kind': 'status', 'value': CASE WHEN new_date IS NULL THEN 'development' WHEN new_date <= DATE '{SNAPSHOT}' THEN 'released' ELSE 'upcoming' END}},
+{{'kind': 'dated', 'value': CASE WHEN new_date IS NULL THEN 'undated' ELSE 'dated' END}}, {{'kind': 'month', 'value': strftime(new_date, '%Y-%m')}}], recursive := true) FROM orders LEFT JOIN current ON item_id = o_orderkey) WHERE value IS NOT NULL GROUP BY kind, value"""),
+    "stream_revisions": _HISTORY,
+    "release_date_as_of": _on_feed(f"SELECT item_id, CAST(new_date AS VARCHAR) AS new_date, kind, CAST(published_on AS VARCHAR) AS published_on, seq FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY seq DESC) AS n FROM official WHERE published_on <= DATE '{KNOWN_ON}') WHERE n = 1"),
     "stream_wishlist": _on_state("SELECT user_id, item_id FROM wishlist"),
     "stream_shelf": _on_state("SELECT * FROM shelf"),
     "stream_release_date": _on_feed("SELECT item_id, CAST(new_date AS VARCHAR) AS new_date, kind, seq FROM current"),

@@ -11,16 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.functions import columns as C
-from almanac.operators import calendar, history, predicates, quality, ranking, shelf
+from almanac.operators import bitmaps, calendar, history, predicates, quality, ranking, shelf, trigrams
 from almanac.sources import tables
 from almanac.sources.schemas import DIMENSIONS, PLATFORM_LABELS, SCORE_MODE_LABELS, STATUS_LABELS
-from almanac.sources.storage import table, written
-from almanac.streaming import documents, folds
+from almanac.sources.storage import new_folder, table, written
+from almanac.sources.stored import StoredCatalog, store_catalog
+from almanac.streaming import counts, documents, folds, revisions
 
 # What a caller asks for.
 USER, ITEM, MISSING_ITEM = 7, 3, -1
 AS_OF = "1998-04-15 03:00:00"
 FILTERS = {"status": "released", "platform": "RF", "region": "ASIA", "query": "  RING "}
+SHORT = "B2"
+KNOWN_ON = "2024-01-15"
 SINCE, UNTIL, LEAST_SCORE = "1997-01-01", "1998-12-31", 6.5
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE")
 
@@ -164,6 +167,60 @@ def item_dossier(spark, sf_dir):
     return row.select("item_id", "title", "original_title", "developer", "country", "summary", "fit", "caution", *_doubles(), F.col("mean").cast("double").alias("mean"), "mode_label", "note", "shelf_label", "wished", "source_label", "source_url", _text("checked_at"), "evidence")
 
 
+# Stored tables and indexes, built from the whole catalog
+
+
+def _stored(spark, sf_dir) -> StoredCatalog:
+    return store_catalog(tables.catalog(spark, sf_dir), new_folder(spark, "catalog"))
+
+
+def _index(spark, stored: StoredCatalog, build: Callable[[DataFrame, str], None]) -> str:
+    path = new_folder(spark, "index")
+    build(stored.items(spark), path)
+    return path
+
+
+@query
+def lookup_stored(spark, sf_dir):
+    stored = _stored(spark, sf_dir)
+    one = lambda key: stored.lookup_or_first(spark, key).select(F.lit(key).cast("bigint").alias("asked"), "item_id", "title")
+    return one(ITEM).union(one(MISSING_ITEM))
+
+
+@query
+def search_trigrams(spark, sf_dir):
+    stored = _stored(spark, sf_dir)
+    return _brief(trigrams.search(spark, _index(spark, stored, trigrams.build), stored, "　Econ "))
+
+
+@query
+def search_short_keyword(spark, sf_dir):
+    stored = _stored(spark, sf_dir)
+    return _brief(trigrams.search(spark, _index(spark, stored, trigrams.build), stored, SHORT))
+
+
+@query
+def bitmap_counts(spark, sf_dir):
+    stored = _stored(spark, sf_dir)
+    filters = dict(FILTERS)
+    found = bitmaps.of_items(trigrams.search(spark, _index(spark, stored, trigrams.build), stored, filters.pop("query")))
+    return bitmaps.result_counts(spark.read.parquet(_index(spark, stored, bitmaps.build)), found, **filters)
+
+
+@query
+def bitmap_facets(spark, sf_dir):
+    index = spark.read.parquet(_index(spark, _stored(spark, sf_dir), bitmaps.build))
+    parts = []
+    for facet in bitmaps.FACETS:
+        parts.append(bitmaps.facet_counts(index, facet).select(F.lit(facet).alias("facet"), F.lit(False).alias("filtered"), F.col(facet).alias("value"), "n"))
+        others = {k: v for k, v in FILTERS.items() if k in bitmaps.FACETS and k != facet}
+        parts.append(bitmaps.facet_counts(index, facet, **others).select(F.lit(facet), F.lit(True), facet, "n"))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    return found
+
+
 # Orders
 
 
@@ -316,7 +373,10 @@ def current_release_date(spark, sf_dir):
 
 @query
 def release_date_history(spark, sf_dir):
-    rows = history.date_history(_feed(spark, sf_dir))
+    return _history(history.date_history(_feed(spark, sf_dir)))
+
+
+def _history(rows: DataFrame) -> DataFrame:
     return rows.select("item_id", "revision", "seq", "kind", _text("old_date"), _text("new_date"), F.col("days_moved").cast("bigint").alias("days_moved"), "direction")
 
 
@@ -378,3 +438,20 @@ def stream_release_date(spark, sf_dir):
 def stream_documents(spark, sf_dir):
     scores = written(tables.catalog(spark, sf_dir).select("item_id", *DIMENSIONS), "scores")
     return documents.stream_documents(spark, folds.raw_events(spark, f"{sf_dir}/events.parquet"), scores)
+
+
+@query
+def stream_counts(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return counts.stream_counts(spark, f"{sf_dir}/events.parquet", orders, orders.select(F.col("o_orderkey").alias("item_id")))
+
+
+@query
+def stream_revisions(spark, sf_dir):
+    return _history(revisions.date_history(revisions.stream_revisions(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "orders"))))
+
+
+@query
+def release_date_as_of(spark, sf_dir):
+    known = revisions.as_of(revisions.stream_revisions(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "orders")), KNOWN_ON)
+    return known.select("item_id", _text("new_date"), "kind", _text("published_on"), "seq")

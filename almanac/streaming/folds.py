@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
@@ -49,6 +49,15 @@ def shelf_marks(log: DataFrame) -> DataFrame:
     return log.where(F.col("action").isin("shelf_set", "shelf_clear")).groupBy(*shelf.KEY).agg(F.max_by("shelf_status", "seq").alias("shelf_status"))
 
 
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def touched_buckets(rows: DataFrame, keys: list[str], buckets: int = BUCKETS) -> list[int]:
+    """The buckets that these rows' keys lie in, of `buckets` in all."""
+    return [r[0] for r in rows.select(bucket_of(keys, buckets)).distinct().collect()]
+
+
 def merge_into(path: str, keys: list[str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """A sink that replaces the rows of the batch's keys, bucket by bucket.
 
@@ -57,10 +66,9 @@ def merge_into(path: str, keys: list[str], buckets: int = BUCKETS) -> Callable[[
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+        spark, bucket = batch.sparkSession, bucket_of(keys, buckets).alias("bucket")
         changed = batch.select("*", bucket).persist()
-        touched = [r["bucket"] for r in changed.select("bucket").distinct().collect()]  # `buckets` at most
+        touched = touched_buckets(changed, keys, buckets)
         kept = snapshot(spark, path, batch.schema, before=number, buckets=touched)
         merged = changed if kept is None else changed.unionByName(kept.withColumn("bucket", bucket).join(changed.select(*keys), keys, "left_anti"))
         merged.withColumn("version", F.lit(number)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(path)

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from almanac.operators import shelf
+from almanac.operators import history, shelf
 from almanac.plans.queries import QUERIES
 from almanac.sources import tables
 from almanac.sources.schemas import DIMENSIONS, EVENTS
 from almanac.sources.storage import table, written
-from almanac.sources.tables import actions
-from almanac.streaming import documents, folds
+from almanac.sources.tables import SNAPSHOT, actions, announcements
+from almanac.streaming import counts, documents, folds, revisions
 
 DATA = "/root/testdata/sf0.001"
 
@@ -127,3 +128,71 @@ def test_sink_keeps_two_versions_and_tells_errors_apart(spark, tmp_path):
 def test_states_hold_items_not_in_the_catalog(spark):
     log = actions(table(spark, DATA, "events"))
     assert shelf.wishlist_current(log).where("item_id = -1").count() > 0 and QUERIES["stream_documents"](spark, DATA).where(F.col("doc").contains('"-1"')).count() > 0
+
+
+def batch_counts(spark, feed, orders):
+    """Counts of the feed so far, from scratch."""
+    items = orders.select(F.col("o_orderkey").alias("item_id"))
+    rows = history.derived_status(items, history.current_dates(feed.dropDuplicates(["seq"])), SNAPSHOT).collect()
+    found = {("status", "all"): len(rows)}
+    for r in rows:
+        date = r["official_date"]
+        for key in (("status", r["status"]), ("dated", "undated" if date is None else "dated"), *([("month", f"{date:%Y-%m}")] if date else [])):
+            found[key] = found.get(key, 0) + 1
+    return found
+
+
+def test_counts_and_revisions_after_every_batch_and_a_replay(spark, tmp_path):
+    source, kept, dates = (str(tmp_path / n) for n in ("events", "counts", "revisions"))
+    orders = table(spark, DATA, "orders")
+    items = orders.select(F.col("o_orderkey").alias("item_id"))
+    add, n = event_files(spark, source, 4, 2)
+    shown = lambda df, *c: sorted(map(tuple, df.select(*c).collect()), key=str)
+    for i in range(n):
+        add(i, i + 1)
+        feed = announcements(folds.raw_events(spark, source), orders)
+        for again in (False, True):
+            if again:  # as after a crash before the batch was marked as done
+                for place in (kept, dates):
+                    for done in Path(f"{place}-progress/commits").glob(f"*{i}*"):
+                        done.unlink()
+            counts.keep_counts(feed, items, kept, f"{kept}-progress", buckets=3).awaitTermination()
+            revisions.keep_revisions(feed, dates, f"{dates}-progress", buckets=3).awaitTermination()
+        so_far = announcements(spark.read.schema(EVENTS).parquet(source), orders).dropDuplicates(["seq"])
+        assert {(r["kind"], r["value"]): r["n"] for r in counts.read_counts(spark, kept).collect()} == batch_counts(spark, so_far, orders)
+        columns = ("item_id", "revision", "seq", "old_date", "new_date", "days_moved", "direction")
+        rows = revisions.read_revisions(spark, dates)
+        assert shown(revisions.date_history(rows), *columns) == shown(history.date_history(so_far), *columns)
+    for day in ("2023-12-31", "2024-01-07", "2024-01-15", "2024-03-01"):
+        want = history.current_dates(so_far.where(F.col("published_on") <= F.lit(day).cast("date")))
+        assert shown(revisions.as_of(rows, day), "item_id", "new_date", "seq") == shown(want, "item_id", "new_date", "seq")
+
+
+def feed_rows(spark, *rows):
+    return spark.createDataFrame([(seq, None, item, day, kind, new) for seq, item, day, kind, new in rows], "seq long, ts timestamp, item_id long, published_on string, kind string, new_date string").withColumns({c: F.col(c).cast("date") for c in ("published_on", "new_date")})
+
+
+def test_signed_changes_by_hand(spark, tmp_path):
+    path = str(tmp_path / "counts")
+    items = spark.createDataFrame([(1,), (2,), (3,)], "item_id long")
+    counts.begin(items, path)
+    counts.begin(items, path)
+    old = folds.snapshot(spark, f"{path}/totals", counts.TOTALS)
+    assert {tuple(r) for r in old.collect()} == {("status", "all", 3), ("status", "development", 3), ("dated", "undated", 3)}
+    new = feed_rows(spark, (5, 1, "2024-01-01", "announcement", "1998-04-15"), (6, 2, "2024-01-01", "announcement", "1999-01-01")).select("item_id", "seq", "new_date")
+    by = {tuple(r) for r in counts.changes(new, spark.createDataFrame([(2, 1, None)], counts.DATES)).collect()}
+    assert by == {("status", "development", -2), ("status", "released", 1), ("status", "upcoming", 1), ("dated", "undated", -2), ("dated", "dated", 2), ("month", "1998-04", 1), ("month", "1999-01", 1)}
+    back = feed_rows(spark, (9, 1, "2024-01-01", "date_change", None)).select("item_id", "seq", "new_date")
+    by = {tuple(r) for r in counts.changes(back, new).collect()}
+    assert by == {("status", "released", -1), ("status", "development", 1), ("dated", "dated", -1), ("dated", "undated", 1), ("month", "1998-04", -1)}
+
+
+def test_intervals_by_hand(spark):
+    rows = feed_rows(spark, (1, 7, "2024-01-01", "announcement", "2025-01-01"), (3, 7, "2024-01-09", "date_change", "2025-03-01"), (2, 7, "2024-01-05", "interview", None), (2, 7, "2024-01-05", "interview", None), (5, 7, "2024-01-07", "date_change", "2025-02-01"), (4, 7, None, "date_change", "2025-02-02"), (1, 8, "2024-01-03", "announcement", "2025-01-01"))
+    found = revisions.intervals(rows.select(*revisions.STATED))
+    assert {(r["item_id"], r["seq"]): (r["revision"], str(r["old_date"]), str(r["valid_to"])) for r in found.collect()} == {
+        (7, 1): (1, "None", "2024-01-05"), (7, 2): (2, "2025-01-01", "2024-01-07"), (7, 3): (3, "None", "2024-01-07"), (7, 4): (4, "2025-03-01", "2024-01-07"), (7, 5): (5, "2025-02-02", "None"), (8, 1): (1, "None", "None"),
+    }
+    known = lambda day: {(r["item_id"], r["seq"]) for r in revisions.as_of(found, day).collect()}
+    assert [known(f"2024-01-0{d}") for d in (1, 4, 5, 6, 7, 9)] == [{(7, 1)}, {(7, 1), (8, 1)}, {(7, 2), (8, 1)}, {(7, 2), (8, 1)}, {(7, 5), (8, 1)}, {(7, 5), (8, 1)}]
+    assert known("2023-12-31") == set()
