@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from almanac.functions.columns import SPACES
 from almanac.sources.schemas import DIMENSIONS, KINDS, SCORE_MODES, SIGNALS, STATUSES
@@ -99,3 +100,19 @@ def publish(rows: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
     for r in rules:
         broken = broken | _failed(r)
     return rows.where(~broken), rows.where(broken)
+
+
+def divert(rows: DataFrame, rules: list[Rule], path: str) -> tuple[DataFrame, DataFrame, list[tuple[str, int, int]]]:
+    """Rows that break no rule, the others with the rules they break, and (rule_id, checked, failed) for every rule.
+
+    One pass writes both kinds of rows to folders of their own below a fresh path, and counts on the way.
+    """
+    seen = Observation()
+    applies = lambda r: F.lit(True) if r.applies is None else F.coalesce(r.applies, F.lit(False))
+    counts = [c for i, r in enumerate(rules) for c in (F.count_if(applies(r)).alias(f"c{i}"), F.count_if(_failed(r)).alias(f"f{i}"))]
+    broken = F.array_compact(F.array(*(F.when(_failed(r), F.lit(r.rule_id)) for r in rules)))
+    checked = rows.observe(seen, *counts).withColumn("broken", broken)
+    checked.withColumn("published", F.size("broken") == 0).write.partitionBy("published").parquet(path)
+    found = rows.sparkSession.read.schema(StructType([*checked.schema.fields, StructField("published", BooleanType())])).parquet(path)
+    of = lambda good: found.where(F.col("published") == good).drop("published")
+    return of(True).drop("broken"), of(False), [(r.rule_id, seen.get[f"c{i}"], seen.get[f"f{i}"]) for i, r in enumerate(rules)]

@@ -186,6 +186,8 @@ UNION ALL SELECT user_id, 'rating', CAST(item_id AS VARCHAR), {" || '/' || ".joi
         + f" UNION ALL SELECT 'Q1', 'item', CAST(o_orderkey AS VARCHAR), CAST(n AS VARCHAR) FROM {_IDS} WHERE n > 1 UNION ALL SELECT 'Q12', 'signal', '*', CAST(n AS VARCHAR) FROM (SELECT count(*) AS n FROM signal) WHERE n < 4"),
     "dq_summary": _with(_QUALITY, " UNION ALL ".join(f"SELECT '{r}' AS rule_id, count(*) FILTER (WHERE {applies}) AS checked, count(*) FILTER (WHERE {applies} AND NOT coalesce({ok}, false)) AS failed FROM {t}" for r, t, applies, ok, _ in _RULES)
         + f" UNION ALL SELECT 'Q1', count(*), count(*) FILTER (WHERE n > 1) FROM {_IDS} UNION ALL SELECT 'Q12', 1, CASE WHEN count(*) < 4 THEN 1 ELSE 0 END FROM signal"),
+    "dq_publish": _with(_QUALITY, "SELECT key AS item_id, broken = '' AS published, broken FROM (SELECT key, concat_ws(',', " + ", ".join(f"CASE WHEN {applies} AND NOT coalesce({ok}, false) THEN '{r}' END" for r, t, applies, ok, _ in _RULES if t == "item") + ") AS broken FROM item)"),
+    "dq_publish_summary": _with(_QUALITY, " UNION ALL ".join(f"SELECT '{r}' AS rule_id, count(*) FILTER (WHERE {applies}) AS checked, count(*) FILTER (WHERE {applies} AND NOT coalesce({ok}, false)) AS failed FROM {t}" for r, t, applies, ok, _ in _RULES)),
     "stream_documents": _on_state(_DOCUMENTS),
     "stream_counts": _on_feed(f"""SELECT kind, value, count(*) AS n FROM (SELECT unnest([{{'kind': 'status', 'value': 'all'}}, {{'kind': 'status', 'value': CASE WHEN new_date IS NULL THEN 'development' WHEN new_date <= DATE '{SNAPSHOT}' THEN 'released' ELSE 'upcoming' END}},
 {{'kind': 'dated', 'value': CASE WHEN new_date IS NULL THEN 'undated' ELSE 'dated' END}}, {{'kind': 'month', 'value': strftime(new_date, '%Y-%m')}}], recursive := true) FROM orders LEFT JOIN current ON item_id = o_orderkey) WHERE value IS NOT NULL GROUP BY kind, value"""),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.functions import columns as C
-from almanac.operators import bitmaps, calendar, history, predicates, quality, ranking, shelf, trigrams
+from almanac.operators import bitmaps, calendar, history, predicates, quality, ranking, shelf, state, trigrams
 from almanac.sources import tables
 from almanac.sources.schemas import DIMENSIONS, PLATFORM_LABELS, SCORE_MODE_LABELS, STATUS_LABELS
 from almanac.sources.storage import new_folder, table, written
@@ -59,11 +59,15 @@ def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.announcements(table(spark, sf_dir, "events"), table(spark, sf_dir, "orders"))
 
 
-def _state(spark: SparkSession, sf_dir: str, items: DataFrame) -> dict[str, DataFrame]:
-    log = _log(spark, sf_dir)
+def _state(log: DataFrame, items: DataFrame) -> dict[str, DataFrame]:
     return {"wishlist": shelf.wishlist_current(log), "shelf": shelf.shelf_current(log), "ratings": shelf.ratings_current(log, items), "notes": shelf.notes_current(log)}
 
 
+def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog's ids, which need no join."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"))
+
+
 # Scans and projections
 
 
@@ -86,10 +90,9 @@ def source_ledger(spark, sf_dir):
 
 @query
 def card_projection(spark, sf_dir):
-    items = tables.catalog(spark, sf_dir)
-    state = _state(spark, sf_dir, items)
-    mine = state["ratings"].where(F.col("user_id") == USER).drop("user_id")
-    rows = shelf.wish_flags(shelf.effective_scores(items, mine, ["item_id"]), state["wishlist"], USER)
+    mine = state.fold(_log(spark, sf_dir).where(F.col("user_id") == USER)).drop("user_id", "note")
+    rows = tables.catalog(spark, sf_dir).join(mine, "item_id", "left")
+    rows = rows.withColumns({**dict(zip(DIMENSIONS, state.scores())), "wished": F.coalesce("wished", F.lit(False))})
     genres = F.array_join(F.slice("genres", 1, 3), ",").alias("genres")
     return rows.select("item_id", "country", "signal", "date_label", "title", "original_title", "summary", genres, C.labels_joined("platforms", PLATFORM_LABELS).alias("platform_labels"), *_doubles(), C.label("status", STATUS_LABELS).alias("status_label"), C.countdown("status", "release_date", AS_OF).alias("countdown"), "wished")
 
@@ -119,13 +122,15 @@ def countdown(spark, sf_dir):
 
 @query
 def radar(spark, sf_dir):
-    found = ranking.top(predicates.select_items(tables.catalog(spark, sf_dir), **FILTERS), "recommend", 20)
+    plain = {k: v for k, v in FILTERS.items() if k not in ("platform", "query")}  # what orders and customers decide
+    some = predicates.select_items(tables.catalog(spark, sf_dir, details=False, status=plain["status"]), **plain)
+    found = ranking.top(predicates.select_items(tables.with_details(spark, sf_dir, some, some.select("item_id")), **FILTERS), "recommend", 20)
     return found.select("rank", "item_id", "title", "developer", "region", "status", _text("release_date"), "featured", C.mean_score().cast("double").alias("mean"))
 
 
 @query
 def filter_status(spark, sf_dir):
-    return _brief(predicates.select_items(tables.catalog(spark, sf_dir), status="upcoming"))
+    return _brief(tables.catalog(spark, sf_dir, status="upcoming"))
 
 
 @query
@@ -162,8 +167,9 @@ def lookup_or_first(spark, sf_dir):
 
 @query
 def item_dossier(spark, sf_dir):
-    items = tables.catalog(spark, sf_dir, sources=True)
-    row = shelf.item_dossier(items, _state(spark, sf_dir, items), USER, ITEM)
+    log = _log(spark, sf_dir).where((F.col("user_id") == USER) & (F.col("item_id") == ITEM))
+    items = tables.catalog(spark, sf_dir, sources=True).where(F.col("item_id") == ITEM)
+    row = shelf.item_dossier(items, _state(log, items), USER, ITEM)
     return row.select("item_id", "title", "original_title", "developer", "country", "summary", "fit", "caution", *_doubles(), F.col("mean").cast("double").alias("mean"), "mode_label", "note", "shelf_label", "wished", "source_label", "source_url", _text("checked_at"), "evidence")
 
 
@@ -226,7 +232,11 @@ def bitmap_facets(spark, sf_dir):
 
 def _ordered(name: str, order: str) -> None:
     def run(spark, sf_dir):
-        found = ranking.top(tables.catalog(spark, sf_dir), order, 20)
+        if order == "score":  # which needs the scores of all items
+            found = ranking.top(tables.catalog(spark, sf_dir), order, 20)
+        else:
+            keys = ranking.top(tables.catalog(spark, sf_dir, details=False), order, 20)
+            found = tables.with_details(spark, sf_dir, keys, F.broadcast(keys.select("item_id")))  # 20 rows
         return found.select("rank", "item_id", "title", _text("release_date"), "featured", C.mean_score().cast("double").alias("mean"))
 
     run.__name__ = name
@@ -255,9 +265,8 @@ def score_mean(spark, sf_dir):
 @query
 def effective_scores(spark, sf_dir):
     items = tables.catalog(spark, sf_dir)
-    state = _state(spark, sf_dir, items)
-    pairs = shelf.personal_ids(state["wishlist"], state["shelf"]).join(items.select("item_id", "score_mode", *DIMENSIONS), "item_id")
-    rows = shelf.effective_scores(pairs, state["ratings"])
+    pairs = state.on_shelf(state.fold(_log(spark, sf_dir))).join(items.select("item_id", "score_mode", *DIMENSIONS), "item_id")
+    rows = pairs.select(*shelf.KEY, *state.scores(), state.mode_label())
     return rows.select("user_id", "item_id", *_doubles(), C.mean_score().cast("double").alias("mean"), *((F.col(d) * 10).cast("double").alias(f"{d}_bar") for d in DIMENSIONS), "mode_label")
 
 
@@ -317,8 +326,7 @@ def personal_ids(spark, sf_dir):
 
 @query
 def my_shelf(spark, sf_dir):
-    items = tables.catalog(spark, sf_dir)
-    return shelf.my_shelf(items, **_state(spark, sf_dir, items)).select("user_id", "item_id", "shelf_label", "title", "note_text", *_doubles([*DIMENSIONS, "mean"]))
+    return state.my_shelf(tables.catalog(spark, sf_dir), state.fold(_log(spark, sf_dir))).select("user_id", "item_id", "shelf_label", "title", "note_text", *_doubles([*DIMENSIONS, "mean"]))
 
 
 @query
@@ -329,20 +337,17 @@ def wish_flag(spark, sf_dir):
 
 @query
 def shelf_stats(spark, sf_dir):
-    items = tables.catalog(spark, sf_dir)
-    state = _state(spark, sf_dir, items)
-    return shelf.shelf_stats(items, state["wishlist"], state["shelf"], state["ratings"])
+    return state.shelf_stats(_ids(spark, sf_dir), state.fold(_log(spark, sf_dir)))
 
 
 @query
 def state_orphans(spark, sf_dir):
-    items = tables.catalog(spark, sf_dir)
-    return shelf.orphans(items, **_state(spark, sf_dir, items))
+    return state.orphans(_ids(spark, sf_dir), state.fold(_log(spark, sf_dir)))
 
 
 @query
 def state_encode(spark, sf_dir):
-    return shelf.state_documents(**_state(spark, sf_dir, tables.catalog(spark, sf_dir)))
+    return state.documents(state.fold(_log(spark, sf_dir)), tables.catalog(spark, sf_dir))
 
 
 def _broken_documents(spark, sf_dir) -> DataFrame:
@@ -353,9 +358,9 @@ def _broken_documents(spark, sf_dir) -> DataFrame:
 
 @query
 def state_decode(spark, sf_dir):
-    state = shelf.decode_documents(_broken_documents(spark, sf_dir))
+    decoded = shelf.decode_documents(_broken_documents(spark, sf_dir))
     sizes = [F.size(n).cast("bigint").alias(f"n_{n}") for n in ("wishlist", "shelf", "ratings", "notes")]
-    return state.select("user_id", *sizes, "corrupt")
+    return decoded.select("user_id", *sizes, "corrupt")
 
 
 @query
@@ -416,6 +421,20 @@ def dq_summary(spark, sf_dir):
     return quality.summary(items, on_items).union(quality.summary(signals, on_signals)).union(ids).union(size)
 
 
+@query
+def dq_publish(spark, sf_dir):
+    items, _, on_items, _ = _quality(spark, sf_dir)
+    good, bad, _ = quality.divert(items, on_items, new_folder(spark, "published"))
+    return good.select("item_id", F.lit(True).alias("published"), F.lit("").alias("broken")).union(bad.select("item_id", F.lit(False), F.array_join("broken", ",")))
+
+
+@query
+def dq_publish_summary(spark, sf_dir):
+    items, signals, on_items, on_signals = _quality(spark, sf_dir)
+    found = [r for rows, rules in ((items, on_items), (signals, on_signals)) for r in quality.divert(rows, rules, new_folder(spark, "published"))[2]]
+    return spark.createDataFrame(found, "rule_id string, checked bigint, failed bigint")
+
+
 # Streams, run to the end of what is there
 
 
@@ -442,8 +461,7 @@ def stream_documents(spark, sf_dir):
 
 @query
 def stream_counts(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    return counts.stream_counts(spark, f"{sf_dir}/events.parquet", orders, orders.select(F.col("o_orderkey").alias("item_id")))
+    return counts.stream_counts(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "orders"), _ids(spark, sf_dir))
 
 
 @query

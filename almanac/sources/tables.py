@@ -15,9 +15,12 @@ def _score(total: Column) -> Column:
     return F.expr("cast(1 as decimal(3,1))") + (total % 95).cast("decimal(4,0)") * F.expr("cast(0.1 as decimal(2,1))")
 
 
-def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the lines of an order say about its item: names, platforms, genres and scores."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+def _details(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """What the lines of an order say about its item: names, platforms, genres and scores; with only (item_id), of these orders."""
+    lines = table(spark, sf_dir, "lineitem")
+    if only is not None:
+        lines = lines.join(only.select(F.col("item_id").alias("_only")), F.col("l_orderkey") == F.col("_only"), "left_semi")
+    lines = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     whole = lambda c: F.sum(F.round(c).cast("bigint"))
     totals = (F.sum("l_quantity").cast("bigint"), whole(F.col("l_extendedprice")), whole(F.col("l_discount") * 100), whole(F.col("l_tax") * 100))
     return lines.groupBy(F.col("l_orderkey").alias("_key")).agg(
@@ -38,12 +41,31 @@ def with_page(rows: DataFrame, pages: DataFrame, key: Column) -> DataFrame:
     return rows.withColumn("_page", key % n).join(pages.select("page_id", "url"), F.col("_page") == F.col("page_id"), "left").drop("_page", "page_id")
 
 
-def catalog(spark: SparkSession, sf_dir: str, *, details: bool = True, sources: bool = False, snapshot: str = SNAPSHOT) -> DataFrame:
+def with_details(spark: SparkSession, sf_dir: str, items: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Items with what their order lines say; with only (item_id), lines of other items are left out before they are aggregated."""
+    items = items.join(_details(spark, sf_dir, only), F.col("item_id") == F.col("_key"), "left").drop("_key")
+    return items.withColumns({n: F.coalesce(n, F.array().cast("array<string>")) for n in ("platforms", "genres")})
+
+
+def _in_status(orders: DataFrame, status: str, snapshot: str) -> DataFrame:
+    """Orders whose items have a status, by predicates on stored columns that reach the scan."""
+    after = (F.lit(snapshot).cast("date") + F.expr("INTERVAL '1' DAY")).cast("timestamp_ntz")
+    dated = F.col("o_orderstatus") != "P"
+    if status == "development":
+        return orders.where((F.col("o_orderstatus") == "P") | F.col("o_orderstatus").isNull() | F.col("o_orderdate").isNull())
+    if status not in ("released", "upcoming"):
+        return orders.where(F.lit(False))
+    return orders.where(dated & ((F.col("o_orderdate") < after) if status == "released" else (F.col("o_orderdate") >= after)))
+
+
+def catalog(spark: SparkSession, sf_dir: str, *, details: bool = True, sources: bool = False, snapshot: str = SNAPSHOT, status: str | None = None) -> DataFrame:
     """One row an order.  Without details, the columns that need order lines are left out, and the scan of these too.
 
-    sources adds what the data-quality rules look at: provenance, declared status and declared date.
+    status keeps the items of one status, by what the orders store.  sources adds what the data-quality rules look at: provenance, declared status and declared date.
     """
     orders = table(spark, sf_dir, "orders")
+    if status is not None:
+        orders = _in_status(orders, status, snapshot)
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     items = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -62,10 +84,7 @@ def catalog(spark: SparkSession, sf_dir: str, *, details: bool = True, sources:
             "declared_status": F.when(F.col("o_orderstatus") == "F", "released").when(F.col("o_orderstatus") == "O", "upcoming").otherwise("development"), "declared_date": declared,
         }
     items = items.select(*(c.alias(n) for n, c in columns.items()))
-    if not details:
-        return items
-    items = items.join(_details(spark, sf_dir), F.col("item_id") == F.col("_key"), "left").drop("_key")
-    return items.withColumns({n: F.coalesce(n, F.array().cast("array<string>")) for n in ("platforms", "genres")})
+    return with_details(spark, sf_dir, items) if details else items
 
 
 def _events(events: DataFrame) -> DataFrame:
