@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.functions.columns import label, mean_score, or_else
@@ -112,12 +112,12 @@ def state_documents(wishlist: DataFrame, shelf: DataFrame, ratings: DataFrame, n
     return joined.select("user_id", F.to_json(F.struct("wishlist", "shelf", "ratings", "notes")).alias("doc"))
 
 
-def decode_documents(documents: DataFrame) -> DataFrame:
-    """(user_id, wishlist, shelf, ratings, notes, corrupt): absent parts are empty, a corrupt document is an empty state."""
+def decode_documents(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(user_id, kept columns, wishlist, shelf, ratings, notes, corrupt): absent parts are empty, a corrupt document is an empty state."""
     state = F.from_json("doc", STATE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     rows = documents.withColumn("_s", state).withColumn("corrupt", F.col("_s").isNull() | F.col("_s._corrupt").isNotNull())
     empty = {f.name: F.array().cast(f.dataType) if f.name == "wishlist" else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{f.dataType.valueType.simpleString()}>")) for f in STATE.fields[:4]}
-    return rows.select("user_id", *(F.when(F.col("corrupt") | F.col(f"_s.{n}").isNull(), e).otherwise(F.col(f"_s.{n}")).alias(n) for n, e in empty.items()), "corrupt")
+    return rows.select("user_id", *keep, *(F.when(F.col("corrupt") | F.col(f"_s.{n}").isNull(), e).otherwise(F.col(f"_s.{n}")).alias(n) for n, e in empty.items()), "corrupt")
 
 
 def exploded_state(decoded: DataFrame) -> DataFrame:
@@ -134,3 +134,21 @@ def write_state(documents: DataFrame, path: str, buckets: int = 64) -> None:
     """Replace whole documents, in the buckets of users that are there; other buckets stay as they are."""
     bucketed = documents.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)))
     bucketed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """(user_id, doc) as write_state has left them."""
+    return spark.read.schema("user_id long, doc string, bucket long").parquet(path).select("user_id", "doc")
+
+
+def set_apart(documents: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """The decoded states (user_id, wishlist, shelf, ratings, notes), and the documents (user_id, doc) that can't be read.
+
+    One pass writes both to folders of their own below a fresh path; unlike
+    decode_documents, which reads a corrupt document as an empty state, it loses none.
+    """
+    decoded = decode_documents(documents, keep=("doc",))
+    kept = decoded.withColumn("doc", F.when(F.col("corrupt"), F.col("doc")))
+    kept.write.partitionBy("corrupt").parquet(path)
+    found = documents.sparkSession.read.schema(kept.schema).parquet(path)
+    return found.where(~F.col("corrupt")).drop("corrupt", "doc"), found.where("corrupt").select("user_id", "doc")

@@ -175,6 +175,8 @@ FROM ids JOIN catalog USING (item_id) LEFT JOIN shelf ON shelf.user_id = ids.use
 SELECT user_id, 'wish' AS tag FROM wishlist UNION ALL SELECT user_id, 'rating' FROM ratings UNION ALL SELECT user_id, CASE WHEN item_id IN (SELECT item_id FROM catalog) THEN shelf_status END FROM shelf) GROUP BY user_id"""),
     "state_orphans": _on_state("SELECT kind, user_id, item_id FROM (" + " UNION ALL ".join(f"SELECT '{kind}' AS kind, user_id, item_id FROM {t}" for kind, t in (("wishlist", "wishlist"), ("shelf", "shelf"), ("rating", "ratings"), ("note", "notes"))) + ") WHERE item_id NOT IN (SELECT item_id FROM catalog)"),
     "state_encode": _on_state(_DOCUMENTS),
+    "state_write": _on_state(_DOCUMENTS),
+    "state_quarantine": _on_state(f"SELECT user_id, left(doc, length(doc) - 2) AS doc FROM ({_DOCUMENTS}) WHERE user_id % 7 = 0"),
     "state_decode": _on_state("SELECT user_id, " + ", ".join(f"CASE WHEN user_id % 7 = 0 THEN 0 ELSE count(*) FILTER (WHERE tag = '{t}') END AS n_{t}" for t in ("wishlist", "shelf", "ratings", "notes")) + ", user_id % 7 = 0 AS corrupt FROM (" + " UNION ALL ".join(f"SELECT user_id, '{t}' AS tag FROM {t}" for t in ("wishlist", "shelf", "ratings", "notes")) + ") GROUP BY user_id"),
     "state_explode": _on_state(f"""SELECT * FROM (SELECT user_id, 'wishlist' AS kind, CAST(item_id AS VARCHAR) AS item_id, CAST(NULL AS VARCHAR) AS value FROM wishlist UNION ALL SELECT user_id, 'shelf', CAST(item_id AS VARCHAR), shelf_status FROM shelf
 UNION ALL SELECT user_id, 'rating', CAST(item_id AS VARCHAR), {" || '/' || ".join(f"coalesce(CAST({d} AS VARCHAR), '-')" for d in DIMENSIONS)} FROM ratings UNION ALL SELECT user_id, 'note', CAST(item_id AS VARCHAR), note FROM notes) WHERE user_id % 7 <> 0"""),

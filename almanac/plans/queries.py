@@ -368,6 +368,18 @@ def state_explode(spark, sf_dir):
     return shelf.exploded_state(shelf.decode_documents(_broken_documents(spark, sf_dir)))
 
 
+@query
+def state_write(spark, sf_dir):
+    path = new_folder(spark, "state")
+    shelf.write_state(state_encode(spark, sf_dir), path)
+    return shelf.read_state(spark, path)
+
+
+@query
+def state_quarantine(spark, sf_dir):
+    return shelf.set_apart(_broken_documents(spark, sf_dir), new_folder(spark, "state"))[1]
+
+
 # Change history
 
 

@@ -104,3 +104,17 @@ def test_divert_writes_once_and_counts_on_the_way(spark, tmp_path):
     assert sum(len(r["broken"]) for r in bad.collect()) == quality.violations(items, rules, "item", "item_id").count()
     none = quality.divert(items.limit(0), rules, str(tmp_path / "none"))
     assert none[0].collect() == none[1].collect() == [] and all(c == f == 0 for _, c, f in none[2])
+
+
+def test_documents_set_apart_and_written_by_bucket(spark, tmp_path):
+    docs = spark.createDataFrame([(1, '{"wishlist":["3"],"shelf":{"3":"playing"}}'), (2, '{"wishlist":["3"'), (3, "{}"), (4, None), (5, "no json")], "user_id long, doc string")
+    good, bad = shelf.set_apart(docs, str(tmp_path / "apart"))
+    assert {r["user_id"]: (r["wishlist"], r["shelf"], r["ratings"], r["notes"]) for r in good.collect()} == {1: (["3"], {"3": "playing"}, {}, {}), 3: ([], {}, {}, {})}
+    assert {tuple(r) for r in bad.collect()} == {(2, '{"wishlist":["3"'), (4, None), (5, "no json")}
+    path = str(tmp_path / "state")
+    shelf.write_state(docs, path, buckets=2)
+    bucket = {r["user_id"]: r["b"] for r in docs.select("user_id", F.pmod(F.xxhash64("user_id"), F.lit(2)).alias("b")).collect()}
+    again = [(u, "new") for u, b in bucket.items() if b == bucket[1]]
+    shelf.write_state(spark.createDataFrame(again, "user_id long, doc string"), path, buckets=2)
+    was = {r["user_id"]: r["doc"] for r in docs.collect()}
+    assert {r["user_id"]: r["doc"] for r in shelf.read_state(spark, path).collect()} == {**was, **dict(again)}
