@@ -7,7 +7,7 @@ byte fallback.  Texts are cut where no piece of the vocabulary can reach across:
 before a space that follows something else, and around characters that occur in
 no piece.  Each distinct chunk is encoded once per worker, many at a time and
 multithreaded, and compared with the `sentencepiece` library; where the two
-differ, that library's ids are taken and `parity` is false for the document.
+differ, the ids stay those of the backend and `parity` is false for the document.
 
 Defined results: a null or empty text has no ids and decodes to the empty text.
 """

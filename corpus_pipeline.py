@@ -1,4 +1,4 @@
-"""A training-data pipeline: documents in, token ids of a cleaned and mixed corpus out.
+"""A training-data pipeline: documents in, counts and digests of the token ids of a cleaned and mixed corpus out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 and read again as the next one's docs.  All but the last return the columns of
