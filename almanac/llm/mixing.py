@@ -15,12 +15,14 @@ threshold, large documents before the others, and small ones
 with hashes beyond it fill what is left.  A
 threshold comes from a histogram of hashes and from an exact running sum inside
 one of its cells, so no task sees a whole source.  Hashes are of doc_id and text, so rows
-with one doc_id, or none, are decided one by one.
+with one doc_id, or none, are decided one by one.  Where the words run out between rows
+alike in both, these are numbered, piece by piece of their files, and the first ones taken.
 
 Defined results: a null or empty text has size 0 and takes 0; a null source is a
-source of its own, last in order; an empty list of sources takes 0; rows alike in
-doc_id and text have equal hashes and are taken together; an empty table gives an empty result.
-Columns of the input with the names of the result's are replaced.
+source of its own, last in order; an empty list of sources takes 0; of rows alike in
+doc_id and text as many are taken as fit, the first ones by place if they differ elsewhere;
+an empty table gives an empty result.  Columns of the input with the names of the result's are
+replaced.
 """
 
 from __future__ import annotations
@@ -48,10 +50,15 @@ _PLAN = T.StructType([T.StructField(n, t) for n, t in (("_pattern", T.StringType
 
 @dataclass
 class Mix:
-    """sizes: (doc_id, _pattern, size, _key) of all documents; plan: one row for each pattern."""
+    """sizes: (doc_id, _pattern, size, _key) of all documents; plan: one row for each pattern.
+
+    ties: (_pattern, _key, _fit) of the rows alike between which a pattern's words run out, at
+    most three a pattern, and how many of them still fit.
+    """
 
     sizes: DataFrame
     plan: DataFrame
+    ties: DataFrame | None
 
 
 def targets(sizes: dict[str | None, int], weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeats: float = 2) -> dict[str | None, float]:
@@ -168,13 +175,17 @@ def plan_mix(docs: DataFrame, members: Column | None = None, *, weights: Sequenc
     second = _cut(ranked.where(~large), second)
     small = ranked.where(~large).join(F.broadcast(second), "_pattern").where("_key > _last AND size * 4 <= _left")
     third = _cut(small, second.select("_pattern", "_left"))
-    for cut, last in ((first, "_last_large"), (second, "_last"), (third.drop("_left"), "_last_small")):
-        plan = plan.join(F.broadcast(cut.withColumnRenamed("_last", last).drop(*["_left"] * (cut is first))), "_pattern", "left")
-    return Mix(sizes, plan)
+    for cut, last in ((first.drop("_left"), "_last_large"), (second, "_last"), (third.drop("_left"), "_last_small")):
+        plan = plan.join(F.broadcast(cut.withColumnRenamed("_last", last).drop("_tie", "_fit")), "_pattern", "left")
+    ties = first.unionByName(second).unionByName(third).where("_fit > 0").selectExpr("_pattern", "_tie _key", "_fit")
+    return Mix(sizes, plan, None if ties.isEmpty() else ties)
 
 
 def _cut(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(_pattern, _last, _left): documents with hashes up to _last fit into the wanted words, but for _left of them."""
+    """(_pattern, _last, _left, _tie, _fit): what fits into the wanted words, but for _left of them.
+
+    That is all documents with hashes up to _last, and _fit of those with the hash _tie.
+    """
     spark = sizes.sparkSession
     cell = F.shiftright("_key", 52).alias("_cell")
     cells = sizes.groupBy("_pattern", cell).agg(F.sum("size").alias("_words"))
@@ -183,25 +194,50 @@ def _cut(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
     # The cell in which the words run out, or the last one; then the documents of that cell alone.
     row = F.min(F.when(F.col("_upto") > F.col("_left"), F.struct("_cell", (F.col("_left") - F.col("_upto") + F.col("_words")).alias("_left"))))
     cut = ends.groupBy("_pattern").agg(F.coalesce(row, F.struct(F.lit(1 << 11).alias("_cell"), (F.first("_left") - F.max("_upto")).alias("_left"))).alias("c")).select("_pattern", "c.*")
+    # Rows alike are one row here, so that a task sees the distinct documents of a cell.
     inside = sizes.select("_pattern", "size", "_key", cell).join(F.broadcast(cut), ["_pattern", "_cell"])
-    upto = F.sum("size").over(Window.partitionBy("_pattern").orderBy("_key"))
-    fits = inside.withColumn("_upto", upto).where("_upto <= _left").groupBy("_pattern").agg(F.max("_key").alias("_last"), F.max("_upto").alias("_fit"))
+    inside = inside.groupBy("_pattern", "_key").agg(F.sum("size").alias("_words"), F.max("size").alias("size"), F.first("_left").alias("_left"))
+    upto = F.sum("_words").over(Window.partitionBy("_pattern").orderBy("_key"))
+    inside = inside.withColumn("_upto", upto)
+    fits = F.col("_upto") <= F.col("_left")
+    tie = F.struct("_key", F.floor((F.col("_left") - F.col("_upto") + F.col("_words")) / F.col("size")).cast("long").alias("n"), "size")
+    fits = inside.groupBy("_pattern").agg(F.max(F.when(fits, F.col("_key"))).alias("_last"), F.coalesce(F.max(F.when(fits, F.col("_upto"))), F.lit(0)).alias("_sum"), F.min(F.when(~fits, tie)).alias("t"))
     start = F.when(F.col("_cell") == 1 << 11, F.lit((1 << 63) - 1)).when(F.col("_cell") == -(1 << 11), F.lit(-(1 << 63))).otherwise(F.shiftleft(F.col("_cell").cast("long"), 52) - 1)
-    found = cut.join(fits, "_pattern", "left").select("_pattern", F.coalesce("_last", start).alias("_last"), (F.col("_left") - F.coalesce("_fit", F.lit(0))).alias("_left"))
-    return spark.createDataFrame(found.collect(), "_pattern string, _last long, _left long")
+    left = F.col("_left") - F.coalesce("_sum", F.lit(0)) - F.coalesce(F.col("t.n") * F.col("t.size"), F.lit(0))
+    found = cut.join(fits, "_pattern", "left").select("_pattern", F.coalesce("_last", start).alias("_last"), left.alias("_left"), F.col("t._key").alias("_tie"), F.coalesce("t.n", F.lit(0)).alias("_fit"))
+    return spark.createDataFrame(found.collect(), "_pattern string, _last long, _left long, _tie long, _fit long")
+
+
+def _among(rows: DataFrame, ties: DataFrame | None) -> DataFrame:
+    """rows, with whether each is one of those that still fit among rows alike (`_fits`).
+
+    Rows at a tie are written, and numbered inside pieces of the files; a piece starts where the
+    ones before it end, so that no task holds all rows alike.
+    """
+    if ties is None:
+        return rows.withColumn("_fits", F.lit(False))
+    at = ["_pattern", "_key"]
+    ties = F.broadcast(ties)
+    tied = written(rows.join(ties.drop("_fit"), at, "left_semi"), "ties").withColumn("_piece", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id())
+    inside = F.row_number().over(Window.partitionBy(*at, "_piece").orderBy("_place"))
+    before = F.sum("_n").over(Window.partitionBy(*at).orderBy("_piece")) - F.col("_n")
+    starts = tied.groupBy(*at, "_piece").agg(F.count("*").alias("_n")).withColumn("_start", before).drop("_n")
+    tied = tied.withColumn("_at", inside).join(starts, [*at, "_piece"]).join(ties, at)
+    tied = tied.select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("_start") + F.col("_at") <= F.col("_fit")).alias("_fits"))
+    return rows.join(ties.drop("_fit"), at, "left_anti").withColumn("_fits", F.lit(False)).unionByName(tied)
 
 
 def _times() -> Column:
-    """How often a document is taken; for rows with _key, size and the plan."""
+    """How often a document is taken; for rows with _key, _fits, size and the plan."""
     large = F.col("size") * LARGE > F.col("_rest")
     small = (F.col("_key") <= F.col("_last")) | ((F.col("_key") <= F.col("_last_small")) & (F.col("size") * 4 <= F.col("_left")))
-    more = F.when(large, F.col("_key") <= F.col("_last_large")).otherwise(small)
+    more = F.when(large, F.col("_key") <= F.col("_last_large")).otherwise(small) | F.col("_fits")
     return F.col("_whole") + F.coalesce(more, F.lit(False)).cast("long")
 
 
 def taken_words(mix: Mix) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of all documents."""
-    rows = mix.sizes.join(F.broadcast(mix.plan), "_pattern")
+    rows = _among(mix.sizes, mix.ties).join(F.broadcast(mix.plan), "_pattern")
     return rows.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (_times() * F.col("size")).alias("taken"))
 
 
@@ -210,5 +246,6 @@ def mix_sources(docs: DataFrame, members: Column | None = None, *, seed: int = 1
     mix = plan_mix(docs, members, seed=seed, **options)
     members = F.array("source") if members is None else members
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    rows = docs.select(row, _pattern(members).alias("_pattern"), n_words(F.col("text")).alias("size"), _key(seed).alias("_key")).join(F.broadcast(mix.plan), "_pattern")
-    return rows.where("size > 0").select("_row", F.explode(F.array_repeat(F.lit(1), _times().cast("int")))).select("_row.*")
+    rows = docs.select(row, _pattern(members).alias("_pattern"), n_words(F.col("text")).alias("size"), _key(seed).alias("_key"))
+    rows = _among(rows.where("size > 0"), mix.ties).join(F.broadcast(mix.plan), "_pattern")
+    return rows.select("_row", F.explode(F.array_repeat(F.lit(1), _times().cast("int")))).select("_row.*")

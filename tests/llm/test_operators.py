@@ -586,3 +586,38 @@ def test_mix_comes_near_its_targets_without_ids(spark):
     found = mixing.taken_words(mixing.plan_mix(docs)).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
     assert all(abs(r["taken"] - r["target"]) <= 0.02 * r["target"] for r in found)
     assert "x.y" in mixing.mix_sources(docs).columns
+
+
+@pytest.mark.parametrize("size", [1, 7, 400])
+def test_mix_is_cut_between_rows_alike(spark, size):
+    rows = [(i % 3, " ".join([f"w{i % 3}"] * size), "abc"[i % 3]) for i in range(3 * 20_000 // size)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    mix = mixing.plan_mix(docs)
+    found = mixing.taken_words(mix)
+    assert found.count() == len(rows)
+    for r in found.groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.max("taken").alias("most")).collect():
+        assert abs(r["taken"] - r["target"]) <= size and r["most"] <= 2 * size
+    want = {r["doc_id"]: r["taken"] // size for r in found.groupBy("doc_id").agg(F.sum("taken").alias("taken")).collect()}
+    assert want == {r["doc_id"]: r["count"] for r in mixing.mix_sources(docs).groupBy("doc_id").count().collect()}
+
+
+def best_flow(words, members, goal, repeats=2):
+    """Most words that reach the sources, and the fewest repeated ones among such mixes, by trying all splits."""
+    best = (0, 0)
+    shares = [[(x, y) for x in range(repeats * w + 1 if "a" in m else 1) for y in range(repeats * w + 1 - x if "b" in m else 1)] for w, m in zip(words, members)]
+    for split in itertools.product(*shares):
+        a, b = sum(x for x, _ in split), sum(y for _, y in split)
+        if a <= goal["a"] and b <= goal["b"]:
+            best = max(best, (a + b, -sum(max(0, x + y - w) for (x, y), w in zip(split, words))))
+    return best
+
+
+@pytest.mark.parametrize(("words", "weights", "share"), [((6, 5, 3), (1, 1), 0.9), ((2, 6, 5), (3, 1), 1.5), ((1, 4, 6), (1, 4), 1.2), ((5, 0, 5), (1, 2), 1.5)])
+def test_overlapping_members_get_the_best_flow(spark, words, weights, share):
+    members = [("a",), ("a", "b"), ("b",)]
+    rows = [(i, f"w{i}", list(m)) for i, m in enumerate(m for m, n in zip(members, words) for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
+    taken = {r["doc_id"]: r["taken"] for r in mixing.taken_words(mixing.plan_mix(docs, F.col("sources"), weights=weights, share=share)).collect()}
+    sizes = {s: sum(n for m, n in zip(members, words) if s in m) for s in "ab"}
+    goal = {s: int(x) for s, x in mixing.targets(sizes, weights, share * sum(words) / sum(sizes.values())).items()}
+    assert (sum(taken.values()), -sum(t - 1 for t in taken.values() if t > 1)) == best_flow(words, members, goal)
