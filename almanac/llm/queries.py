@@ -113,18 +113,28 @@ c{n + 1} AS MATERIALIZED (SELECT k, i, coalesce(CAST((s - ((s % n) + n) % n) //
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
+
+
+def _repeats(name: str, least: int) -> str:
+    """n<name>: the words of each document inside windows of `least` words found twice."""
+    window = " || ' ' || ".join(f"lead(v, {i}) OVER o" for i in range(least))
+    return f"""g{name} AS (SELECT doc_id, i, {window} AS s FROM v WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r{name} AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM g{name} WHERE s IS NOT NULL) WHERE c > 1),
+n{name} AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + {least - 1})) AS j FROM r{name}) GROUP BY doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_repetition": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
-g AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM d),
-r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS c FROM g) WHERE c > 1),
-n AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS j FROM r) GROUP BY doc_id),
-h AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - {repetition.MAX_LONGEST})) AS i FROM d SEMI JOIN r USING (doc_id)),
+v AS MATERIALIZED (SELECT doc_id, unnest(w) AS v, unnest(generate_series(1, len(w))) AS i FROM d),
+{_repeats("4", repetition.MIN_REPEAT)},
+{_repeats("8", repetition.BASE_REPEAT)},
+h AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - {repetition.MAX_LONGEST})) AS i FROM d SEMI JOIN r8 USING (doc_id)),
 l AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, array_to_string(w[i:i + {repetition.MAX_LONGEST}], ' ') AS s FROM h) GROUP BY doc_id, s HAVING count(*) > 1),
 b AS (SELECT doc_id, count(*) - count(DISTINCT s) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM d) WHERE regexp_matches(s, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-  coalesce(b.n, 0) AS n_dup_lines, coalesce(n.n, 0) AS n_repeat_words, l.doc_id IS NOT NULL AS has_long FROM d LEFT JOIN n USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * n_repeat_words <= 30 * n_words AND NOT has_long AS kept
+  coalesce(b.n, 0) AS n_dup_lines, coalesce(n8.n, 0) AS n_repeat_words, coalesce(n4.n, 0) AS n_covered_words, l.doc_id IS NOT NULL AS has_long FROM d LEFT JOIN n8 USING (doc_id) LEFT JOIN n4 USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered_words, base_failed, NOT base_failed AND 100 * n_covered_words <= 30 * n_words AND NOT has_long AS kept
 FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)""",
     "op8_repeats": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),

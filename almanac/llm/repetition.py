@@ -2,13 +2,15 @@
 
 The words of many documents are ranked together, each document with symbols of
 its own, so that no repeat crosses documents.  Prefix doubling refines the ranks
-of suffixes that are not yet told apart; the ranks of every round are kept, and
+of suffixes that are not yet told apart; their ranks in every round are kept, and
 the longest common prefix of neighbours in the suffix array is read from them.
 The larger one of a suffix's two neighbouring prefixes is the longest substring
 that starts there and occurs elsewhere in the document: the right end of its
 LCP interval.  The union of these spans is that of all maximal repeated
-substrings.  A document passes if the spans cover at most a fraction of its
-words and none is longer than a limit.
+substrings.  A document passes if the spans of MIN_REPEAT words or more cover at
+most a fraction of its words and none is longer than a limit.  The base rule counts
+spans of BASE_REPEAT words or more, so short phrases said again and again pass it
+and fail here.
 
 Defined results: a null, empty or blank text has no words, fails the base rule
 on length and is not kept.  Repeated rows are measured each; ties do not arise.
@@ -24,12 +26,13 @@ from almanac.llm.shared import per_slice
 from almanac.llm.text import Words, mix, powers, words
 
 #: Shortest repeat that counts, in words.
-MIN_REPEAT = 8
+MIN_REPEAT = 4
 #: Largest part of a document's words inside repeats, and longest repeat in words.
 MAX_COVERED = 0.3
 MAX_LONGEST = 50
-#: Base rule: fewest words, and largest part of words inside repeats.
+#: Base rule: fewest words, shortest repeat, and largest part of words inside repeats.
 MIN_WORDS = 20
+BASE_REPEAT = 8
 BASE_COVERED = 0.3
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -52,9 +55,9 @@ def longest_repeats(symbols: np.ndarray, least: int) -> np.ndarray:
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     rank[order] = np.repeat(first, np.diff(np.append(first, n)))
-    kept = [rank.copy()]
     alone = np.diff(np.append(first, n)) == 1
     active = order[~np.repeat(alone, np.diff(np.append(first, n)))]
+    kept = [(active.astype(np.int32), rank[active].astype(np.int32))]
     step, repeated = 1, None
     while len(active):
         if step >= least and repeated is None:
@@ -74,7 +77,7 @@ def longest_repeats(symbols: np.ndarray, least: int) -> np.ndarray:
         rank[active] = old + part - begin
         sizes = np.diff(np.append(np.flatnonzero(parts), len(active)))
         active = active[np.repeat(sizes > 1, sizes)]
-        kept.append(rank.copy())
+        kept.append((active.astype(np.int32), rank[active].astype(np.int32)))
         step *= 2
     if repeated is None or not len(repeated):
         return best
@@ -82,16 +85,28 @@ def longest_repeats(symbols: np.ndarray, least: int) -> np.ndarray:
     suffixes = repeated[np.argsort(rank[repeated], kind="stable")]
     a, b = suffixes[:-1], suffixes[1:]
     common = np.zeros(len(a), np.int64)
+    ranks = np.full(n + 1, -1, np.int32)  # -1: alone in this round, equal to no other
     for level in range(len(kept) - 1, -1, -1):
-        ranks = kept[level]
-        same = ranks[np.minimum(a + common, n)] == ranks[np.minimum(b + common, n)]
-        common[same & (np.maximum(a, b) + common < n)] += 1 << level
+        places, values = kept.pop()
+        ranks[places] = values
+        there = ranks[np.minimum(a + common, n)]
+        common[(there >= 0) & (there == ranks[np.minimum(b + common, n)])] += 1 << level
+        ranks[places] = -1
     np.maximum.at(best, a, common)
     np.maximum.at(best, b, common)
     best[best < least] = 0
     return best
 
 
+def covered(best: np.ndarray, least: int) -> np.ndarray:
+    """Whether each position is inside a repeat of at least `least`: the union of the spans."""
+    edge = np.zeros(len(best) + 1, np.int64)
+    at = np.flatnonzero(best >= least)
+    edge[at] += 1
+    np.subtract.at(edge, at + best[at], 1)
+    return np.cumsum(edge)[:-1] > 0
+
+
 def _per_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate(([0], np.cumsum(flags)))[offsets])
 
@@ -125,14 +140,10 @@ def measure(texts: pa.Array) -> dict:
     symbols[place] = mix(cut.hashes() ^ mix(doc.astype(np.uint64) + np.uint64(1)))
     symbols[cut.bounds[1:] + np.arange(n_docs)] = mix(np.arange(n_docs).astype(np.uint64) + np.uint64(1 << 62))
     best = longest_repeats(symbols, MIN_REPEAT)
-    edge = np.zeros(len(symbols) + 1, np.int64)
-    at = np.flatnonzero(best)
-    edge[at] += 1
-    np.subtract.at(edge, at + best[at], 1)
-    covered = np.cumsum(edge)[place] > 0
     longest = np.zeros(n_docs, np.int64)
     np.maximum.at(longest, doc, best[place])
-    n_repeat = _per_doc(covered, cut.bounds)
+    n_repeat = _per_doc(covered(best, BASE_REPEAT)[place], cut.bounds)
+    n_covered = _per_doc(covered(best, MIN_REPEAT)[place], cut.bounds)
     letters = np.zeros(len(cut.data) + 1, np.int64)
     np.cumsum((cut.data & 0xC0) != 0x80, out=letters[1:])
     chars = np.concatenate(([0], np.cumsum(letters[cut.end] - letters[cut.start])))
@@ -143,13 +154,14 @@ def measure(texts: pa.Array) -> dict:
         "n_symbols": _per_doc(_SYMBOL[cut.data], cut.offsets),
         "n_dup_lines": duplicate_lines(cut),
         "n_repeat_words": n_repeat,
+        "n_covered_words": n_covered,
         "longest_repeat": longest,
         "base_failed": failed,
-        "kept": ~failed & (100 * n_repeat <= round(100 * MAX_COVERED) * n) & (longest <= MAX_LONGEST),
+        "kept": ~failed & (100 * n_covered <= round(100 * MAX_COVERED) * n) & (longest <= MAX_LONGEST),
     }
 
 
-ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long, base_failed boolean, kept boolean"
+ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered_words long, longest_repeat long, base_failed boolean, kept boolean"
 
 
 def repetition_rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

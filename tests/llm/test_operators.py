@@ -374,22 +374,30 @@ def brute_repetition(t):
         return sum(inside)
 
     longest = 0
-    if covered(8):
-        longest = next(k for k in range(8, len(w) + 1) if not covered(k + 1))
+    if covered(4):
+        longest = next(k for k in range(4, len(w) + 1) if not covered(k + 1))
     lines, seen = 0, set()
     for line in (t or "").split("\n"):
         lines += bool(WORD.search(line)) and line in seen
         seen.add(line)
-    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), lines, covered(8), longest
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), lines, covered(8), covered(4), longest
 
 
 def test_repetition_is_what_brute_force_finds(table):
     rng = random.Random(2)
-    texts = [t for t in table.text if len(t) < 2500] + [" ".join(rng.choice("ab") for _ in range(n)) for n in range(60)] + [None, "", "a\n\na\n", "x " * 70, "a b\n" * 9]
+    texts = [t for t in table.text if len(t) < 2500] + [" ".join(rng.choice("ab") for _ in range(n)) for n in range(60)] + [None, "", "a\n\na\n", "x " * 70, "a b\n" * 9, " ".join(f"x y z {v} r{i}" for i, v in enumerate("uvw" * 3))]
     found = repetition.measure(pa.array(texts, pa.string()))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat")
+    decided = set()
     for i, t in enumerate(texts):
-        assert tuple(int(found[n][i]) for n in names) == brute_repetition(t), t
+        want = brute_repetition(t)
+        assert tuple(int(found[n][i]) for n in names) == want, t
+        n, again, inside, longest = want[0], *want[4:]
+        failed = n < 20 or 100 * again > 30 * n
+        assert found["base_failed"][i] == failed
+        assert found["kept"][i] == (not failed and 100 * inside <= 30 * n and longest <= 50)
+        decided.add((failed, 100 * inside <= 30 * n))
+    assert (False, False) in decided  # short phrases that the base rule lets pass
 
 
 # 6 SentencePiece
