@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from almanac.llm.encoding import Memo, distinct
@@ -257,10 +258,17 @@ def decode_pieces(rows: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id"
     return rows.select(*keep, "ids").mapInArrow(run, schema)
 
 
-def piece_digests(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Encode and decode in one go: n_bytes, n_tokens, ids_crc32, parity, and whether the text came back."""
+def piece_digests(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one go: n_bytes, n_tokens, ids_crc32, parity, and whether the text came back.
+
+    Equal texts in a row, as a mix repeats them, are encoded once.  `with_ids` adds the ids.
+    """
 
     def measure(texts: pa.Array) -> dict:
+        again = np.zeros(len(texts), bool)
+        again[1:] = np.asarray(pc.fill_null(pc.equal(texts[1:], texts[:-1]), False))
+        row = np.cumsum(~again) - 1
+        texts = texts.take(pa.array(np.flatnonzero(~again)))
         ids, bounds, parity = codec(model).encode(texts)
         data, edges = codec(model).decode(ids, bounds)
         raw, edge = ids.astype("<u4").tobytes(), (4 * bounds).tolist()
@@ -268,6 +276,10 @@ def piece_digests(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id"
         now, then, a, b = data.tobytes(), was.tobytes(), edges.tolist(), offsets.tolist()
         mark = _MARK.encode()
         same = [now[a[i] : a[i + 1]] == then[b[i] : b[i + 1]].replace(mark, b" ") for i in range(len(b) - 1)]
-        return {"n_bytes": np.diff(offsets), "n_tokens": np.diff(bounds), "ids_crc32": [zlib.crc32(raw[x:y]) for x, y in zip(edge, edge[1:])], "parity": parity, "round_trip": same}
+        found = {"n_bytes": np.diff(offsets), "n_tokens": np.diff(bounds), "ids_crc32": [zlib.crc32(raw[x:y]) for x, y in zip(edge, edge[1:])], "parity": parity, "round_trip": same}
+        if with_ids:
+            found["ids"] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+        return {c: (v if isinstance(v, pa.Array) else pa.array(v)).take(pa.array(row)) for c, v in found.items()}
 
-    return per_slice(docs, "n_bytes long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean", measure, keep)
+    added = "n_bytes long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean" + ", ids array<int>" * with_ids
+    return per_slice(docs, added, measure, keep)

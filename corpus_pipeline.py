@@ -1,4 +1,4 @@
-"""A training-data pipeline: documents in, counts and digests of the token ids of a cleaned and mixed corpus out.
+"""A training-data pipeline: documents in, token ids of a cleaned and mixed corpus out, with their counts and digests.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 and read again as the next one's docs.  All but the last return the columns of
@@ -41,7 +41,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path(TOKENIZER)
-    return pieces.piece_digests(docs, model, keep=("doc_id", "source"))
+    return pieces.piece_digests(docs, model, keep=("doc_id", "source"), with_ids=True)
 
 
 STAGES = [("quality classifier", classify), ("n-gram Jaccard join", deduplicate), ("substring dedup", cut_repeats), ("mixing sources", mix), ("SentencePiece", encode)]

@@ -77,8 +77,10 @@ def test_run_is_what_plain_stages_give(spark, tmp_path):
     assert any(texts[i] != good[i] for i in stay)
 
     other = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    crc = {i: zlib.crc32(np.array(other.encode(t), "<u4").tobytes()) for i, t in texts.items()}
+    ids = {i: other.encode(t) for i, t in texts.items()}
+    crc = {i: zlib.crc32(np.array(x, "<u4").tobytes()) for i, x in ids.items()}
     assert {r["doc_id"] for r in found} <= set(texts)
+    assert all(r["ids"] == ids[r["doc_id"]] and r["n_tokens"] == len(r["ids"]) for r in found)
     assert all(r["ids_crc32"] == crc[r["doc_id"]] and r["parity"] for r in found)
 
     source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
