@@ -450,6 +450,70 @@ def test_unigram_models_encode_whole_texts(tmp_path, trim):
 # 7 Quality
 
 
+def plain_em(votes):
+    """P(bad) of each document from its labellers' votes, document by document."""
+    n = len(quality.LABELLERS)
+    bad = [0.9 if quality.BAD in v else 0.1 for v in votes]
+    for _ in range(100):
+        prior = (sum(bad) + 1) / (len(votes) + 2)
+        rates = []
+        for j in range(n):
+            told = [(b, v[j] == quality.BAD) for b, v in zip(bad, votes) if v[j] != quality.SILENT]
+            if_bad = (sum(b for b, says in told if says) + 0.5) / (sum(b for b, _ in told) + 1)
+            if_good = (sum(1 - b for b, says in told if says) + 0.5) / (sum(1 - b for b, _ in told) + 1)
+            rates.append((max(if_bad, if_good), if_good))
+        now = []
+        for v in votes:
+            x, y = prior, 1 - prior
+            for j in range(n):
+                if v[j] != quality.SILENT:
+                    x *= rates[j][0] if v[j] == quality.BAD else 1 - rates[j][0]
+                    y *= rates[j][1] if v[j] == quality.BAD else 1 - rates[j][1]
+            now.append(x / (x + y))
+        done = max(abs(a - b) for a, b in zip(now, bad)) < 1e-6
+        if done:
+            break
+        bad = now
+    return now, rates
+
+
+def test_label_model_is_plain_em_and_finds_accuracies():
+    rng = random.Random(4)
+    right = [0.95, 0.9, 0.85, 0.8, 0.9, 0.75, 0.7]
+    truth = [rng.random() < 0.3 for _ in range(3000)]
+    votes = [tuple(quality.SILENT if rng.random() < 0.2 else (quality.BAD if (t if rng.random() < p else not t) else quality.GOOD) for p in right) for t in truth]
+    codes, counts = np.unique(quality._code(np.array(votes)), return_counts=True)
+    model = quality.LabelModel(codes, counts.astype(float))
+    want, rates = plain_em(votes)
+    assert np.allclose(1 - model.good(quality._code(np.array(votes))), want, atol=1e-4)
+    assert np.allclose(model.rates[0], [r[0] for r in rates], atol=1e-4) and np.allclose(model.rates[1], [r[1] for r in rates], atol=1e-4)
+    for j, p in enumerate(right):  # estimated without the truth
+        assert abs(model.rates[0][j] - p) < 0.05 and abs(1 - model.rates[1][j] - p) < 0.05
+    assert sum((w > 0.5) == t for w, t in zip(want, truth)) > 0.95 * len(truth)
+
+
+def test_scorer_is_plain_descent(monkeypatch):
+    monkeypatch.setattr(quality, "BUCKETS", 12)
+    rng = np.random.default_rng(6)
+    features = []
+    for _ in range(40):
+        at = np.sort(rng.choice(12, rng.integers(0, 6), replace=False))
+        features.append((at, rng.random(len(at))))
+    labels = rng.random(40)
+    w, m, v = [0.0] * 13, [0.0] * 13, [0.0] * 13
+    for t in range(1, 31):
+        slope = [1e-4 * x / 40 for x in w]
+        for (at, value), label in zip(features, labels):
+            off = (1 / (1 + math.exp(-w[12] - sum(w[i] * x for i, x in zip(at, value)))) - label) / 40
+            slope[12] += off
+            for i, x in zip(at, value):
+                slope[i] += off * x
+        for i, g in enumerate(slope):
+            m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
+            w[i] -= 0.3 * m[i] / (1 - 0.9**t) / (math.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+    assert np.allclose(quality.train_scorer(features, labels, rounds=30), w, atol=1e-6)
+
+
 def test_quality_on_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
