@@ -20,7 +20,13 @@ documents they concern instead:
 Copies of a whole text are flagged as such and send no contexts.  Equal contexts
 inside one batch of texts are judged there: all but those of its
 smallest document are flagged, and only one of them moves.  So a passage in a
-third of all documents costs a row for each batch, not for each document.
+third of all documents costs a row for each batch, not for each document; flags
+found there go anywhere, not to their anchor.  An anchor of more than HOT
+documents is salted: its contexts move window by window, and the hash of a window
+says in which of its shards it is judged, so no automaton holds all surroundings.
+
+A reference that isn't the corpus itself, and is of bounded size, is broadcast as
+packed automata by `almanac.llm.reference`.
 
 Defined results: a null or empty text has no words and loses none; texts of fewer
 than WINDOW words lose none; rows with equal doc_id don't flag each other; a null
@@ -29,6 +35,7 @@ doc_id counts as larger than all others.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 from collections.abc import Iterator
 
@@ -43,6 +50,8 @@ from almanac.llm.text import Words, mix, rolling, slices, words
 
 WINDOW = 13
 ANCHOR = 5
+#: Documents of an anchor for each shard it is split into.
+HOT = 1 << 14
 #: Bytes of a word's hash in a context.
 _WORD_BYTES = 5
 _NO_ID = (1 << 63) - 1
@@ -106,6 +115,7 @@ class Contexts:
 
     def __init__(self, cut: Words):
         self.hashes = cut.hashes()
+        self.windows = rolling(self.hashes, WINDOW)
         counts = cut.counts
         # Windows by start, in documents long enough to have one.
         starts = np.arange(len(self.hashes))
@@ -126,12 +136,36 @@ class Contexts:
         self.anchor, self.doc = best[first], doc[first]
         self.local = self.start - cut.bounds[self.doc]
 
+    def take(self, which: np.ndarray) -> Contexts:
+        """The given ones of these contexts."""
+        some = copy.copy(self)
+        for name in ("start", "n", "anchor", "doc", "local"):
+            setattr(some, name, getattr(self, name)[which])
+        return some
+
+    def salted(self, salts: np.ndarray) -> Contexts:
+        """A context for each window, whose anchor is mixed with its hash modulo the context's salts."""
+        some = self.take(np.repeat(np.arange(len(self.n)), self.n))
+        step = np.arange(len(some.n)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        some.start, some.local, some.n = some.start + step, some.local + step, np.ones(len(step), np.int64)
+        some.anchor = mix(some.anchor + mix(some.windows[some.start] % np.repeat(salts, self.n).astype(np.uint64) + np.uint64(1)))
+        return some
+
     def content(self) -> np.ndarray:
         """A hash of the words of each context: its first and last windows overlap, so they say all."""
-        windows = rolling(self.hashes, WINDOW)
         if not len(self.start):
             return np.zeros(0, np.uint64)
-        return mix(windows[self.start] + mix(windows[self.start + self.n - 1] + self.n.astype(np.uint64)))
+        return mix(self.windows[self.start] + mix(self.windows[self.start + self.n - 1] + self.n.astype(np.uint64)))
+
+    def later(self, ids: np.ndarray) -> np.ndarray:
+        """Whether an equal context here has a smaller id; ids are those of the documents."""
+        ids, content = ids[self.doc], self.content()
+        order = np.lexsort((ids, content))
+        first = np.ones(len(order), bool)
+        first[1:] = content[order][1:] != content[order][:-1]
+        smallest = np.empty(len(order), np.int64)
+        smallest[order] = ids[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else ids
+        return ids > smallest
 
     def words(self, which: np.ndarray) -> pa.Array:
         """The hashed words of the given contexts, packed."""
@@ -139,7 +173,7 @@ class Contexts:
         upto = np.concatenate(([0], np.cumsum(sizes)))
         at = np.repeat(self.start[which] - upto[:-1], sizes) + np.arange(upto[-1])
         packed = self.hashes[at].view(np.uint8).reshape(-1, 8)[:, :_WORD_BYTES].tobytes()
-        return pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer((upto * _WORD_BYTES).astype(np.int32)), pa.py_buffer(packed)])
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((upto * _WORD_BYTES).astype(np.int32)), pa.py_buffer(packed)])
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -156,7 +190,7 @@ def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             found = Contexts(words(batch.column(0)[a:b]))
             pairs = np.unique(np.stack((found.anchor, found.doc.astype(np.uint64))), axis=1)[0] if len(found.anchor) else found.anchor
             anchors, counts = np.unique(pairs, return_counts=True)
-            yield pa.RecordBatch.from_arrays([_signed(anchors), pa.array(np.minimum(counts, 2), pa.int64())], ["anchor", "n"])
+            yield pa.RecordBatch.from_arrays([_signed(anchors), pa.array(counts, pa.int64())], ["anchor", "n"])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,29 +201,40 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_signed(found.anchor), batch.column(0).take(take), batch.column(1).take(take)], ["anchor", "_id", "_row"])
 
 
+def _marks(rows: pa.Array, anchors: pa.Array) -> np.ndarray:
+    """A hash of document and anchor, for each anchor in an array column."""
+    sizes = np.diff(np.asarray(rows.offsets))
+    return mix(_unsigned(anchors) + mix(np.repeat(np.arange(len(sizes)), sizes).astype(np.uint64)))
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["anchor", "_id", "_row", "place", "words"]
+
+    def rows(batch: pa.RecordBatch, a: int, found: Contexts, later: np.ndarray) -> pa.RecordBatch:
+        take = pa.array(found.doc + a)
+        packed = found.words(~later).take(pa.array(np.cumsum(~later) - 1, mask=later))
+        doc, row = batch.column(0).take(take), batch.column(1).take(take)
+        shard = np.where(later, _unsigned(row), found.anchor)  # what is flagged already needs no shard
+        return pa.RecordBatch.from_arrays([_signed(shard), doc, row, pa.array(found.local * 16 + found.n, pa.int64()), packed], names)
+
     for batch in batches:
         for a, b in slices(batch.column(2)):
             found = Contexts(words(batch.column(2)[a:b]))
-            shared = batch.column(3)[a:b]
-            sizes = np.diff(np.asarray(shared.offsets))
-            here = mix(_unsigned(shared.flatten()) + mix(np.repeat(np.arange(b - a), sizes).astype(np.uint64)))
-            which = np.flatnonzero(np.isin(mix(found.anchor + mix(found.doc.astype(np.uint64))), here))
-            ids = np.asarray(batch.column(0))[a:b][found.doc[which]]
-            content = found.content()[which]
-            order = np.lexsort((ids, content))
-            first = np.ones(len(order), bool)
-            first[1:] = content[order][1:] != content[order][:-1]
-            smallest = np.empty(len(order), np.int64)
-            smallest[order] = ids[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else ids
-            take = pa.array(found.doc[which] + a)
-            later = ids > smallest
-            sent = found.words(which[~later])
-            place = np.cumsum(~later) - 1
-            packed = sent.take(pa.array(place, mask=later))
-            columns = [_signed(found.anchor[which]), batch.column(0).take(take), batch.column(1).take(take), pa.array(found.local[which] * 16 + found.n[which], pa.int64()), packed]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            shared, hot = batch.column(3)[a:b], batch.column(4)[a:b]
+            mark = mix(found.anchor + mix(found.doc.astype(np.uint64)))
+            here = np.isin(mark, _marks(shared, shared.flatten()))
+            found, mark = found.take(here), mark[here]
+            ids = np.asarray(batch.column(0))[a:b]
+            later = found.later(ids)
+            hot_rows = hot.flatten()
+            hot_mark = _marks(hot, hot_rows.field("anchor"))
+            split = np.isin(mark, hot_mark) & ~later
+            yield rows(batch, a, found.take(~split), later[~split])
+            if split.any():
+                order = np.argsort(hot_mark)
+                at = order[np.searchsorted(hot_mark, mark[split], sorter=order)]
+                single = found.take(split).salted(np.asarray(hot_rows.field("salts"))[at])
+                yield rows(batch, a, single, single.later(ids))
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,11 +280,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _hits(texts: DataFrame) -> DataFrame:
-    """(_id, _row, anchors): the shared anchors of each document but copies of a smaller one."""
+    """(_id, _row, anchors, hot): the shared anchors of each document but copies of a smaller one, and the salts of hot ones."""
     counted = texts.select("text").mapInArrow(_anchor_counts, "anchor long, n long")
-    shared = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    shared = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", F.ceil(F.col("n") / HOT).alias("salts"))
     found = texts.mapInArrow(_anchors, "anchor long, _id long, _row long").join(shared, "anchor")
-    hits = found.groupBy("_id", "_row").agg(F.collect_set("anchor").alias("anchors"))
+    hot = F.when(F.col("salts") > 1, F.struct("anchor", "salts"))
+    hits = found.groupBy("_id", "_row").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(hot).alias("hot"))
     return hits.join(_copied(texts), "_row", "left").where("first IS NULL OR first = _id").drop("first")
 
 
@@ -254,7 +300,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     texts = _keyed(docs).select("_id", "_row", "text")
     hits = written(_hits(texts), "anchors")
     release(spark)
-    contexts = texts.join(hits, ["_id", "_row"]).select("_id", "_row", "text", "anchors").mapInArrow(_contexts, "anchor long, _id long, _row long, place long, words binary")
+    contexts = texts.join(hits, ["_id", "_row"]).select("_id", "_row", "text", "anchors", "hot").mapInArrow(_contexts, "anchor long, _id long, _row long, place long, words binary")
     ordered = contexts.repartition("anchor").sortWithinPartitions("anchor", "_id")
     flags = written(ordered.mapInArrow(_judge, "_id long, _row long, flag long"), "flags")
     release(spark)
@@ -262,7 +308,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return flags.union(copies).groupBy("_id", "_row").agg(F.collect_set("flag").alias("flags"))
 
 
-def _removed(cut: Words, flags: pa.Array) -> np.ndarray:
+def removed_words(cut: Words, flags: pa.Array) -> np.ndarray:
     """Whether each word is covered by a flagged window."""
     sizes = np.diff(np.asarray(flags.offsets))
     doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -300,6 +346,13 @@ def _kept(cut: Words, removed: np.ndarray, spaced: bool) -> tuple[bytes, list[in
     return data.tobytes(), upto[np.searchsorted(doc, np.arange(len(cut.bounds)))].tolist()
 
 
+def cut_texts(cut: Words, removed: np.ndarray, texts: pa.Array) -> pa.Array:
+    """The texts without their removed words; those that lose none stay as they are."""
+    data, edges = _kept(cut, removed, spaced=True)
+    some = np.diff(np.concatenate(([0], np.cumsum(removed)))[cut.bounds]) > 0
+    return pa.array([data[x:y].decode() if f else t for x, y, f, t in zip(edges, edges[1:], some.tolist(), texts.to_pylist())], pa.string())
+
+
 def _with_flags(docs: DataFrame) -> DataFrame:
     """(doc, text, flags): whole rows, their texts and their flags."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "doc_id", "text")
@@ -314,7 +367,7 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 cut = words(batch.column(1)[a:b])
-                removed = _removed(cut, batch.column(2)[a:b])
+                removed = removed_words(cut, batch.column(2)[a:b])
                 data, edges = _kept(cut, removed, spaced=False)
                 lost = np.diff(np.concatenate(([0], np.cumsum(removed)))[cut.bounds])
                 digests = [hashlib.sha256(data[x : max(x, y - 1)]).hexdigest() for x, y in zip(edges, edges[1:])]
@@ -333,10 +386,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for a, b in slices(batch.column(1)):
                 texts, flags = batch.column(1)[a:b], batch.column(2)[a:b]
                 cut = words(texts)
-                data, edges = _kept(cut, _removed(cut, flags), spaced=True)
-                some = np.diff(np.asarray(flags.offsets)) > 0
-                texts = pa.array([data[x:y].decode() if f else t for x, y, f, t in zip(edges, edges[1:], some.tolist(), texts.to_pylist())], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], texts], ["doc", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], cut_texts(cut, removed_words(cut, flags), texts)], ["doc", "text"])
 
     cut = _with_flags(docs).mapInArrow(run, schema)
     return cut.select(*(F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))

@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from unittest import mock
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +20,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from almanac.llm import encoding, jaccard, language_model, media, mixing, pieces, quality, repeats, repetition, text, token_counts, token_files
+from almanac.llm import encoding, jaccard, language_model, media, mixing, pieces, quality, reference, repeats, repetition, text, token_counts, token_files
 from almanac.llm.graph import components
 
 DATA = "/root/testdata/sf0.001"
@@ -561,6 +562,58 @@ def test_cut_texts_keep_what_they_keep(spark):
     assert got == {0: rows[0][1], 1: "x  y z\n", 2: rows[2][1]}
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_salted_anchors_remove_the_same(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    passage = [f"p{i}" for i in range(30)]
+    rows = near_copies() + [(5000 + i, " ".join([f"a{i % 7}", *passage[i % 9 : 20 + i % 11], f"b{i % 5}", *passage[:14]])) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeats.repeat_digests(frame).collect()} == brute_repeats(rows)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("ab"), max_size=40), max_size=4), st.lists(st.lists(st.sampled_from("abc"), max_size=60), max_size=4), st.integers(1, 20))
+def test_packed_automaton_finds_all_windows(known, texts, stretch):
+    automaton = repeats.Automaton()
+    for t in known:
+        automaton.add([ord(x) for x in t])
+    packed = reference.Packed.read(reference.Packed.of(automaton).row())
+    want = [i >= 12 and any("".join(t[i - 12 : i + 1]) in "".join(k) for k in known) for t in texts for i in range(len(t))]
+    with mock.patch.object(reference, "STRETCH", stretch):
+        got = packed.ends(np.array([ord(x) for t in texts for x in t], np.uint64), np.cumsum([0, *map(len, texts)]))
+    assert got.tolist() == want
+
+
+def brute_reference(texts, known):
+    windows = {tuple(w[i : i + 13]) for t in known for w in [WORD.findall(t or "")] for i in range(len(w) - 12)}
+    kept = []
+    for t in texts:
+        w = WORD.findall(t or "")
+        gone = {j for i in range(len(w) - 12) if tuple(w[i : i + 13]) in windows for j in range(i, i + 13)}
+        kept.append([x for j, x in enumerate(w) if j not in gone])
+    return kept
+
+
+@pytest.mark.parametrize("shard_words", [1 << 17, 500])
+def test_reference_by_broadcast_and_by_shuffle_is_brute_force(spark, table, monkeypatch, shard_words):
+    monkeypatch.setattr(reference, "SHARD_WORDS", shard_words)
+    texts = table.text.tolist()[:300] + [t for _, t in near_copies()]
+    known = [None, "", "too short"] + [" ".join((t or "").split()[5:60]) for t in texts[::7]] * 2
+    rows = [(i, t, i) for i, t in enumerate([*texts, None, "", " \n", "  short text ", texts[0], " ".join(texts[::7] * 40)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc long").repartition(3)
+    held = spark.createDataFrame([(t,) for t in known], "text string")
+    want = brute_reference([t for _, t, _ in rows], known)
+    assert sum(map(len, want)) < sum(len(WORD.findall(t or "")) for _, t, _ in rows)
+    for most in (reference.MOST_WORDS, 0):
+        got = {r["doc_id"]: r for r in reference.remove_reference(docs, held, most).collect()}
+        assert len(got) == len(rows) and all(r["doc"] == i for i, r in got.items())
+        assert [WORD.findall(got[i]["text"] or "") for i, _, _ in rows] == want
+        assert all(got[i]["text"] == t for (i, t, _), k in zip(rows, want) if len(k) == len(WORD.findall(t or "")))
+    for most in (reference.MOST_WORDS, 0):
+        assert reference.remove_reference(docs.limit(0), held, most).collect() == []
+        assert {r["doc_id"]: r["text"] for r in reference.remove_reference(docs, held.limit(0), most).collect()} == {i: t for i, t, _ in rows}
+
+
 # 9 Token-id files
 
 
