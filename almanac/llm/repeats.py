@@ -8,8 +8,9 @@ documents they concern instead:
 1. Every window has an anchor: the run of ANCHOR words in it with the smallest
    hash.  Equal windows have equal anchors, and neighbouring windows mostly share
    theirs, so there are about five times fewer anchors than words.
-2. Anchors of two documents or more are shared; a count of at most two from each
-   batch of texts finds them.  Only windows with a shared anchor go on.
+2. Anchors of two documents or more are shared; counts from each batch of texts find
+   them, and are joined to a row an anchor and batch that lists its documents.  Only
+   windows with a shared anchor go on.
 3. The windows of a document around one anchor form a context.  A shard is an
    anchor with all contexts around it, in order of doc_id.  A generalised suffix
    automaton of the contexts so far gives the matching statistics of the next
@@ -194,11 +195,22 @@ def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each anchor of a slice of texts: its first document, and the others in `more`, null where there are none."""
     for batch in batches:
         for a, b in slices(batch.column(2)):
             found = Contexts(words(batch.column(2)[a:b]))
-            take = pa.array(found.doc + a)
-            yield pa.RecordBatch.from_arrays([_signed(found.anchor), batch.column(0).take(take), batch.column(1).take(take)], ["anchor", "_id", "_row"])
+            order = np.lexsort((found.doc, found.anchor))
+            anchor, doc = found.anchor[order], found.doc[order]
+            again = np.zeros(len(order), bool)
+            again[1:] = (anchor[1:] == anchor[:-1]) & (doc[1:] == doc[:-1])
+            anchor, doc = anchor[~again], doc[~again]
+            first = np.ones(len(anchor), bool)
+            first[1:] = anchor[1:] != anchor[:-1]
+            ids, rows = batch.column(0)[a:b], batch.column(1)[a:b]
+            one, others = pa.array(doc[first]), pa.array(doc[~first])
+            upto = np.append(np.flatnonzero(first), len(anchor)) - np.arange(first.sum() + 1)
+            more = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.StructArray.from_arrays([ids.take(others), rows.take(others)], ["_id", "_row"]), mask=pa.array(upto[1:] == upto[:-1]))
+            yield pa.RecordBatch.from_arrays([_signed(anchor[first]), ids.take(one), rows.take(one), more], ["anchor", "_id", "_row", "more"])
 
 
 def _marks(rows: pa.Array, anchors: pa.Array) -> np.ndarray:
@@ -283,7 +295,9 @@ def _hits(texts: DataFrame) -> DataFrame:
     """(_id, _row, anchors, hot): the shared anchors of each document but copies of a smaller one, and the salts of hot ones."""
     counted = texts.select("text").mapInArrow(_anchor_counts, "anchor long, n long")
     shared = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", F.ceil(F.col("n") / HOT).alias("salts"))
-    found = texts.mapInArrow(_anchors, "anchor long, _id long, _row long").join(shared, "anchor")
+    met = texts.mapInArrow(_anchors, "anchor long, _id long, _row long, more array<struct<_id: long, _row: long>>").join(shared, "anchor")
+    one = F.array(F.struct("_id", "_row"))
+    found = met.select("anchor", "salts", F.explode(F.when(F.col("more").isNull(), one).otherwise(F.concat(one, "more"))).alias("doc")).select("anchor", "salts", "doc.*")
     hot = F.when(F.col("salts") > 1, F.struct("anchor", "salts"))
     hits = found.groupBy("_id", "_row").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(hot).alias("hot"))
     return hits.join(_copied(texts), "_row", "left").where("first IS NULL OR first = _id").drop("first")
