@@ -213,6 +213,49 @@ def test_shards_train_one_model(spark, docs, monkeypatch):
         assert np.allclose(found[0].w[k], found[1].w[k], atol=1e-4)
 
 
+def test_every_id_is_a_class_of_its_own():
+    rng = np.random.default_rng(3)
+    ids = np.concatenate((rng.integers(0, 2000, 40_000), np.tile([2500, 7, 2600, 8], 3))).astype(np.int32)  # more ids than places, and rare ones before and after others
+    bounds = np.array([0, 15_000, 40_000, len(ids)])
+    model = language_model.Model(ids, bounds, 3000)
+    assert len(set(model.classes.tolist())) == 3001 and len(model.w["in"]) == len(model.group) > 3000
+    given = model.classes[np.array([[2500, 7, 2600, 8] * 4])]
+    z = model.forward(given, np.array([True]))["z"]
+    every = np.array([np.exp(model.likelihood(z, given, np.full(len(z), c)).astype(float)) for c in range(len(model.group))])
+    assert np.allclose(every.sum(axis=0), 1, atol=1e-3)
+    assert min(every[model.classes[7], 0], every[model.classes[2600], 1], every[model.classes[8], 2]) > 0.01
+    assert every[model.classes[2600], 1] > 20 * every[model.classes[2500], 1]  # equally rare, but only one of them follows
+    before = model.w["in"].copy()
+    model.train(ids, bounds)
+    moved = (model.w["in"] != before).any(axis=1)
+    assert moved[model.classes[[2500, 2600]]].all() and not moved[model.classes[2999]]
+
+
+def test_rare_pairs_meet_by_shuffle(spark):
+    """Scores of Spark, where pairs outside the table meet by pair, are those of the model that has all pairs at hand."""
+    import json
+
+    known = [t[:-4] for t in json.load(open(path("word_bpe_49k.json")))["model"]["vocab"] if re.fullmatch("[a-z]{4,}</w>", t)][:2500]
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(known[min(int(x), 2499)] for x in rng.exponential(500, 60))) for i in range(400)]
+    docs = spark.createDataFrame([*rows, rows[0], (1000, None)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in language_model.lm_scores(docs, path("word_bpe_49k.json")).collect()}
+    train = language_model.encoded(language_model._texts(docs), path("word_bpe_49k.json"))
+    model = language_model.fit(train.where("NOT held_out"), path("word_bpe_49k.json"), train.where("NOT held_out").count())
+    held = {True: [], False: []}
+    for r in train.collect():
+        held[r["held_out"]].append((r["doc_id"], np.frombuffer(r["ids"], "<u2").astype(np.int32)))
+    counts = Counter()
+    for _, ids in held[False]:
+        read = [model.end, *ids.tolist(), model.end]
+        counts.update(int(model.classes[a]) * len(model.group) + int(model.classes[b]) for a, b in zip(read, read[1:]))
+    keys = np.array(sorted(counts))
+    model.pairs = keys, np.array([counts[k] for k in keys.tolist()])
+    assert len({i for part in held.values() for _, ids in part for i in ids.tolist()}) > language_model.CLASSES
+    for doc, ids in (x for part in held.values() for x in part):
+        assert math.isclose(got[doc], model.score(ids, np.array([0, len(ids)]))[0], rel_tol=1e-3)
+
+
 def test_model_beats_the_baseline_on_held_out_texts(spark):
     rows = language_model.lm_scores(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), path("word_bpe_49k.json")).where("held_out").collect()
     tokens = sum(r["n_tokens"] for r in rows)
