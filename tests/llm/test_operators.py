@@ -175,6 +175,28 @@ def test_score_is_what_plain_steps_give(monkeypatch, steep):
         assert math.isclose(x, plain_score(model, ids[a:b].tolist()), rel_tol=1e-2)
 
 
+def test_gradient_is_the_same_where_logits_are_steep(monkeypatch):
+    model, ids, bounds = small_model()
+    given, first, target, real = model.blocks(ids, bounds)
+    loss, slope = model.gradient(given, first, model.classes[target], real)
+    monkeypatch.setattr(language_model, "STEEP", 0.0)
+    again, steep = model.gradient(given, first, model.classes[target], real)
+    assert math.isclose(loss, again, rel_tol=1e-5) and all(np.allclose(slope[k], steep[k], atol=1e-6) for k in slope)
+    rows, at = np.unique(given.ravel(), return_inverse=True)
+    some = model.gradient(given, first, model.classes[target], real, rows, at)[1]["in"]
+    assert np.allclose(some, steep["in"][rows], atol=1e-7) and len(rows) < len(steep["in"])
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_places_in_the_head(n):
+    rng = np.random.default_rng(4)
+    head = np.unique(rng.integers(0, 1 << 64, n, np.uint64) >> rng.integers(0, 40, n).astype(np.uint64))  # many with the same first bits
+    wanted = np.concatenate((head, head + np.uint64(1), rng.integers(0, 1 << 64, 999, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)))
+    at, inside = language_model.Head(head).find(wanted)
+    assert inside.tolist() == np.isin(wanted, head).tolist()
+    assert (head[at[inside]] == wanted[inside]).all()
+
+
 def test_model_is_causal_learns_and_scores_each_id_once():
     model, ids, bounds = small_model()
     whole = model.score(ids, bounds)
@@ -682,6 +704,22 @@ def test_runs_are_encoded_as_the_library_does():
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_each_new_word_is_encoded_once_with_all_others_of_its_texts():
+    asked = []
+
+    def encode(found):
+        asked.append(sorted(found))
+        return np.array([x for w in found for x in w], np.int32), np.array([len(w) for w in found])
+
+    memo = encoding.HashMemo(encode, 4)
+    for texts, new in ((["b a b", None, "cc"], [b"a", b"b", b"cc"]), (["a dé", "b"], ["dé".encode()]), (["e a"], [b"e"]), (["a"], [b"a"])):
+        ids, bounds = memo.ids(text.words(pa.array(texts, pa.string())))
+        assert [bytes(ids[x:y].tolist()) for x, y in zip(bounds, bounds[1:])] == ["".join((t or "").split()).encode() for t in texts]
+        assert asked.pop() == new and not asked
+    memo.ids(text.words(pa.array(["a", ""])))
+    assert not asked
+
+
 def test_block_reads_one_document_and_checks_its_dictionary():
     ids = [np.arange(i, i * 7, dtype="<u2") for i in range(1, 60)]
     dictionary = token_files.train_dictionary([x.tobytes() for x in ids], 1 << 10)
