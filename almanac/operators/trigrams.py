@@ -1,14 +1,23 @@
-"""Substring search by an index of trigrams.
+"""Substring search by an index of trigrams over the distinct values of the searched fields.
 
-Every place of a searched field begins a gram of three characters; two end marks close
-a field, so that its last characters begin grams too.  The index has a row for each
-gram and chunk of ids, with the sorted ids of the chunk whose fields have the gram: a
-gram of any frequency is spread over rows of at most CHUNK ids.  Rows are sorted by
-gram, so that a search reads the row groups of its keyword's grams.
+Items share their values: a title or a country is one value, however many items have it.
+The index has three levels, so that grams are cut once a value and never meet items:
 
-A search intersects the lists of its keyword's grams chunk by chunk, reads the items
-that are left from the stored catalog and verifies them with the same predicate as a
-search without index, since grams may come from different places or fields.
+* lists (`path`): every place of a value begins a gram of three characters; two end marks
+  close a value, so that its last characters begin grams too.  A row for each gram and
+  chunk of value numbers has the sorted numbers of the chunk whose values have the gram.
+* values (`path-values`): number, text in lower case and the text's hash, its key.
+* items (`path-items`): a row for each value and chunk of ids, with the sorted ids of the
+  chunk's items that have the value, under its key.
+
+A gram or value of any frequency is spread over rows of at most CHUNK numbers or ids.
+Lists are sorted by gram and items by key, so that a search reads the row groups of its
+keyword's grams and values.
+
+A search intersects the lists of its keyword's grams chunk by chunk, keeps the values that
+have the keyword inside, since grams may come from different places, reads their items
+from the stored catalog and verifies these with the same predicate as a search without
+index, since keys are hashes.
 
 Defined results: a blank keyword finds all items, as a filter without a value does; one
 of one or two characters finds the grams that begin with it; null fields have no grams,
@@ -24,40 +33,72 @@ from almanac.functions.columns import contains_keyword, keyword
 from almanac.operators.predicates import SEARCHED
 from almanac.sources.stored import StoredCatalog
 
-#: Ids in one posting row at most, and candidates that are read by literal ids; more are joined.
+#: Numbers or ids in one row at most; keys and candidates that are read by literals; more are joined.
 CHUNK = 4096
 FEW = 1000
 END = "\0"
 
 
+def _no_text() -> Column:
+    return F.array().cast("array<string>")
+
+
 def grams(text: Column) -> Column:
     """The grams that begin at each place of a text in lower case; none of a null or empty one."""
-    letters = F.split(F.lower(text), "")
-    closed = F.concat(letters, F.array(F.lit(END), F.lit(END)))
-    at = lambda i, n: F.element_at(closed, i + n)
-    found = F.transform(F.sequence(F.lit(1), F.size(letters)), lambda i: F.concat(at(i, 0), at(i, 1), at(i, 2)))
-    return F.when(F.length(text) > 0, found).otherwise(F.array().cast("array<string>"))
+    letters = F.split(F.concat(F.lower(text), F.lit(END + END)), "")
+    joined = lambda x, n: F.zip_with(x, F.slice(letters, n, F.size(letters)), lambda a, b: F.concat(a, b))
+    return F.coalesce(F.slice(joined(joined(letters, 2), 3), 1, F.size(letters) - 2), _no_text())
+
+
+def values(fields: tuple[str, ...], arrays: tuple[str, ...]) -> Column:
+    """The texts of an item's fields in lower case, maybe repeated or null."""
+    return F.concat(F.array(*map(F.lower, fields)), *(F.transform(F.coalesce(a, _no_text()), F.lower) for a in arrays))
+
+
+def _lists(rows: DataFrame, by: tuple[str, ...], member: str, chunk: int) -> DataFrame:
+    """(by, chunk, ids): the sorted members of each key in one chunk of them."""
+    found = rows.groupBy(*by, F.floor(F.col(member) / F.lit(chunk)).alias("chunk"))
+    return found.agg(F.sort_array(F.array_distinct(F.collect_list(member))).alias("ids"))
 
 
 def build(catalog: DataFrame, path: str, fields: tuple[str, ...] = SEARCHED, arrays: tuple[str, ...] = ("genres",), chunk: int = CHUNK) -> None:
-    """Write the index of a catalog's fields: (gram, chunk, ids)."""
-    empty = F.array().cast("array<string>")
-    of_arrays = [F.flatten(F.transform(F.coalesce(F.array_compact(a), empty), grams)) for a in arrays]
-    every = F.array_distinct(F.concat(*(grams(F.col(f)) for f in fields), *of_arrays))
-    rows = catalog.where(F.col("item_id").isNotNull()).select("item_id", F.explode(every).alias("gram"))
-    lists = rows.groupBy("gram", F.floor(F.col("item_id") / F.lit(chunk)).alias("chunk")).agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
-    lists.repartitionByRange("gram", "chunk").sortWithinPartitions("gram", "chunk").write.mode("overwrite").parquet(path)
+    """Write the index of a catalog's fields: lists (gram, chunk, ids of values), values (number, key, value), items (key, value, chunk, ids)."""
+    rows = catalog.where(F.col("item_id").isNotNull()).select("item_id", F.explode(values(fields, arrays)).alias("value")).where("value != ''")
+    lists = _lists(rows.withColumn("key", F.xxhash64("value")), ("key", "value"), "item_id", chunk)
+    found = _written(lists.sortWithinPartitions("key", "chunk"), f"{path}-items").select("key", "value").distinct()
+    # Numbers hold once they are written; grams are cut from what is read again.
+    numbered = _written(found.select(F.monotonically_increasing_id().alias("number"), "key", "value"), f"{path}-values")
+    cut = numbered.select("number", F.explode(F.array_distinct(grams(F.col("value")))).alias("gram"))
+    _written(_lists(cut, ("gram",), "number", chunk).sortWithinPartitions("gram", "chunk"), path)
+
 
+def _written(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
-def candidates(spark: SparkSession, path: str, wanted: str) -> DataFrame:
-    """(item_id): items that have all grams of a keyword, which isn't blank."""
+
+def found_values(spark: SparkSession, path: str, wanted: str) -> DataFrame:
+    """(key): values that have a keyword inside, which isn't blank."""
     lists = spark.read.parquet(path)
     if len(wanted) < 3:
-        return lists.where(F.startswith("gram", F.lit(wanted))).select(F.explode("ids").alias("item_id")).distinct()
-    parts = sorted({wanted[i : i + 3] for i in range(len(wanted) - 2)})
-    met = lists.where(F.col("gram").isin(parts)).groupBy("chunk").agg(F.collect_list("ids").alias("lists")).where(F.size("lists") == len(parts))
-    ids = F.aggregate(F.slice("lists", 2, len(parts)), F.col("lists")[0], F.array_intersect)
-    return met.select(F.explode(ids).alias("item_id"))
+        numbers = lists.where(F.startswith("gram", F.lit(wanted))).select(F.explode("ids").alias("number")).distinct()
+    else:
+        parts = sorted({wanted[i : i + 3] for i in range(len(wanted) - 2)})
+        met = lists.where(F.col("gram").isin(parts)).groupBy("chunk").agg(F.collect_list("ids").alias("lists")).where(F.size("lists") == len(parts))
+        ids = F.aggregate(F.slice("lists", 2, len(parts)), F.col("lists")[0], F.array_intersect)
+        numbers = met.select(F.explode(ids).alias("number"))
+    return spark.read.parquet(f"{path}-values").join(numbers, "number", "left_semi").where(F.contains("value", F.lit(wanted))).select("key").distinct()
+
+
+def candidates(spark: SparkSession, path: str, wanted: str, few: int | None = None) -> DataFrame:
+    """(item_id): items that have a value with the keyword, which isn't blank.
+
+    Up to `few` values are read by their keys, for which row groups are skipped; more of them, or all without `few`, meet the items in a join.
+    """
+    keys, items = found_values(spark, path, wanted), spark.read.parquet(f"{path}-items")
+    first = [r["key"] for r in keys.limit(few + 1).collect()] if few is not None else None
+    mine = items.where(F.col("key").isin(first)) if first is not None and len(first) <= few else items.join(keys, "key", "left_semi")
+    return mine.select(F.explode("ids").alias("item_id")).distinct()
 
 
 def search(spark: SparkSession, path: str, stored: StoredCatalog, query: str, fields: tuple[str, ...] = SEARCHED, arrays: tuple[str, ...] = ("genres",), few: int = FEW) -> DataFrame:
@@ -69,7 +110,7 @@ def search(spark: SparkSession, path: str, stored: StoredCatalog, query: str, fi
     wanted = keyword(query)
     if not wanted:
         return stored.items(spark).drop("part")
-    found = candidates(spark, path, wanted)
+    found = candidates(spark, path, wanted, few)
     first = [r["item_id"] for r in found.limit(few + 1).collect()]
     items = stored.some(spark, first) if len(first) <= few else stored.items(spark).drop("part").join(found, "item_id", "left_semi")
     return items.where(contains_keyword(query, *fields, arrays=arrays))

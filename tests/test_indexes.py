@@ -67,6 +67,21 @@ def test_search_reads_candidates_only(spark, tmp_path):
     assert parts == {"12"}
 
 
+def test_grams_are_cut_once_a_value(spark, tmp_path):
+    sizes = {}
+    for n in (10, 1000):
+        rows = [item(i, title="One Title", developer="maker" if i % 2 else "MAKER", genres=["other", "One title"]) for i in range(n)]
+        trigrams.build(frame(spark, [{**r, "ordinal": i} for i, r in enumerate(rows)]), str(tmp_path / f"{n}"), chunk=64)
+        sizes[n] = spark.read.parquet(str(tmp_path / f"{n}")).agg(F.sum(F.size("ids"))).first()[0]
+        for few in (None, 0, 1000):
+            found = trigrams.candidates(spark, str(tmp_path / f"{n}"), "one t", few)
+            assert sorted(r[0] for r in found.collect()) == list(range(n))
+    assert sizes[10] == sizes[1000]  # lists hold values, however many items share them
+    text = "日b😀c" * 300
+    cut = spark.createDataFrame([(text,), ("",), (None,), ("A",)], "t string").select(trigrams.grams(F.col("t"))).collect()
+    assert cut[0][0] == [(text + "\0\0")[i : i + 3] for i in range(1200)] and [r[0] for r in cut[1:]] == [[], [], ["a\0\0"]]
+
+
 def test_lookup_reads_one_part_and_sorts_nothing(spark, tmp_path):
     catalog = tables.catalog(spark, DATA)
     stored = store_catalog(catalog, str(tmp_path / "catalog"), width=100)
