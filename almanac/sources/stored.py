@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-#: Ids in one part.
+#: Ids in one part, and pieces of a part that are dealt to tasks whole.
 PART = 1 << 20
+PIECES = 32
 
 
 def part_of(item_id: Column, width: int) -> Column:
@@ -49,8 +50,10 @@ class StoredCatalog:
 def store_catalog(catalog: DataFrame, path: str, width: int = PART) -> StoredCatalog:
     """Write the catalog to a path in parts of `width` ids."""
     items = catalog.where(F.col("item_id").isNotNull()).withColumn("part", part_of(F.col("item_id"), width))
-    items.repartitionByRange("part", "item_id").sortWithinPartitions("part", "item_id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/items")
+    # Pieces of known bounds: to find even ones by a sample, the catalog would be computed once more.
+    items.repartition("part", part_of(F.col("item_id"), -(-width // PIECES))).sortWithinPartitions("part", "item_id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/items")
     stored = StoredCatalog(path, width, catalog.schema)
     first = stored.items(catalog.sparkSession).drop("part")
+    first = first.where(F.col("ordinal") == first.agg(F.min("ordinal")).scalar())  # so that whole rows are compared of these only
     first.agg(F.min_by(F.struct(*first.columns), "ordinal").alias("_r")).where("_r IS NOT NULL").select("_r.*").write.mode("overwrite").parquet(f"{path}/first")
     return stored
