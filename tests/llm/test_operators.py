@@ -278,6 +278,33 @@ def test_rare_pairs_meet_by_shuffle(spark):
         assert math.isclose(got[doc], model.score(ids, np.array([0, len(ids)]))[0], rel_tol=1e-3)
 
 
+def test_rare_sums_hold_every_pair(spark):
+    """Each text's sum over its rare pairs, against plain counts: held-out, repeated and null texts, and pairs that training has not seen."""
+    from types import SimpleNamespace
+
+    tokenizer = path("word_bpe_49k.json")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").cast("long"), "text").limit(300)
+    docs = docs.union(docs.limit(5)).union(spark.createDataFrame([(10**9, None), (None, "zyzzyva qophs zyzzyva")], docs.schema)).repartition(3).localCheckpoint()
+    texts = language_model.encoded(language_model._texts(docs), tokenizer)
+    counts = language_model.id_totals(texts.where("NOT held_out"), tokenizer)
+    first, size = language_model.first_classes(counts), len(counts)
+    within = np.random.default_rng(1).random(size) / size
+    model = SimpleNamespace(classes=np.random.default_rng(2).permutation(size), within=within)
+    got = {r["_key"]: r["sum"] for r in language_model.rare_sums(language_model.rare_rows(texts, tokenizer, counts), model).collect()}
+    pairs, trained, want, unseen = {}, Counter(), Counter(), 0
+    rows = texts.select("_key", "held_out", "ids").collect()
+    for i, r in enumerate(rows):
+        ids = [size - 1, *np.frombuffer(r["ids"], "<u2").tolist(), size - 1]
+        pairs[i] = [(a, b) for a, b in zip(ids, ids[1:]) if first[a] == 0 or first[b] == 0]
+        trained.update([] if r["held_out"] else pairs[i])
+    for i, r in enumerate(rows):
+        unseen += sum(trained[p] == 0 for p in pairs[i])
+        for a, b in pairs[i]:
+            want[r["_key"]] += math.log10(trained[a, b] + language_model.SMOOTH * within[model.classes[b]])
+    assert unseen and len(want) > 100 and got.keys() == want.keys()
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-9) for k in want)
+
+
 def test_model_beats_the_baseline_on_held_out_texts(spark):
     rows = language_model.lm_scores(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), path("word_bpe_49k.json")).where("held_out").collect()
     tokens = sum(r["n_tokens"] for r in rows)
