@@ -97,6 +97,25 @@ def test_lookup_reads_one_part_and_sorts_nothing(spark, tmp_path):
     assert trigrams.search(spark, str(tmp_path / "grams"), empty, "ring").collect() == []
 
 
+def test_storing_computes_the_catalog_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def named(x):
+        seen.add(1)
+        return f"title {x}"
+
+    catalog = frame(spark, [{**item(i), "ordinal": o} for i, o in zip((*range(500), 7, -5, None), (*range(3, 503), 2, None, 1))])
+    stored = store_catalog(catalog.withColumn("title", named("item_id")), str(tmp_path / "catalog"), width=100)
+    assert seen.value == 502  # once an item with an id
+    assert [r["ordinal"] for r in spark.read.parquet(f"{stored.path}/first").collect()] == [2]
+    rows = stored.items(spark).select("part", "item_id", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")).collect()
+    assert sorted(r["item_id"] for r in rows) == sorted([*range(500), 7, -5]) and all(r["part"] == r["item_id"] // 100 for r in rows)
+    for file in {r["file"] for r in rows}:
+        ids = [r["item_id"] for r in sorted(rows, key=lambda r: r["at"]) if r["file"] == file]
+        assert ids == sorted(ids)
+
+
 def test_bitmap_counts_equal_scans(spark, odd, tmp_path):
     rows = [item(i, platforms=p, region=r, status=s) for i, (p, r, s) in enumerate([(None, "ASIA", "released"), (["AF", "NO"], "EUROPE", "released"), (["NO"], None, "upcoming"), ([], "ASIA", None), (["AF"], "ASIA", "released"), (["AF", "AF", None], "EUROPE", "development")])]
     catalog = frame(spark, [{**r, "ordinal": o} for r, o in zip(rows, (0, 1, 32_768, 32_769, 70_000, -3))])
